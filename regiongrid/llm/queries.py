@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import rules
+from . import decontaminate, pii, rules, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,13 +16,33 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(_table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in every document."""
+    return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced by pseudonyms."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, counted="n_replaced")
+
+
+def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' records as read back from archives."""
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
     return {
+        "op3_benchmark_decontamination": op3_benchmark_decontamination,
+        "op8_pii_pseudonyms": op8_pii_pseudonyms,
+        "op10_warc_round_trip": op10_warc_round_trip,
         "op9_quality_rules": op9_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_benchmark_decontamination": decontaminate.oracle(),
         "op9_quality_rules": rules.oracle(),
     }
