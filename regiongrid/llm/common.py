@@ -9,6 +9,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,3 +102,67 @@ def shingle_hashes(words: Column, width: int = 5) -> Column:
     return F.array_distinct(
         F.when(n >= width, long).when(n > 0, F.array(F.xxhash64(words))).otherwise(none)
     )
+
+
+_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+_BYTES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 2**64)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]))
+
+
+def shingle_sets(texts: list[bytes], width: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sizes, values, keys) of the distinct word shingles of UTF-8 texts.
+
+    Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case; values are 64-bit
+    hashes, sorted within a text; a text of fewer than ``width`` words is one
+    shingle, one without words none. keys holds a 128-bit hash of each text's
+    word sequence as two signed numbers.
+    """
+    n_texts = len(texts)
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    raw = b"\n".join([*texts, b""]).translate(_LOWER)
+    b = np.frombuffer(raw, np.uint8)
+    white = (b == 32) | ((b >= 9) & (b <= 13))
+    edge = np.diff(white.astype(np.int8), prepend=1)
+    first, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    stop = stop[-len(first) :] if len(first) else stop[:0]
+    ends = np.cumsum(sizes + 1)
+    count = np.diff(np.searchsorted(first, np.append(0, ends)))  # words of each text
+    with np.errstate(over="ignore"):
+        # a polynomial over each word, from prefix sums over all bytes
+        total = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(_BYTES[b] * _powers(_BASE, len(b))[:-1], out=total[1:])
+        word = mix((total[stop] - total[first]) * _powers(_INVERSE, len(b))[first])
+        n = len(word)
+        gram = np.zeros(max(0, n - width + 1), np.uint64)
+        for k in range(width):
+            gram = gram * np.uint64(0xD6E8FEB86659FD93) + word[k : k + len(gram)]
+        gram = mix(gram)
+    out, keys, many = [], np.zeros((n_texts, 2), np.int64), np.zeros(n_texts, np.int64)
+    begin = 0
+    for i, c in enumerate(count.tolist()):
+        if c:
+            own = word[begin : begin + c].tobytes()
+            keys[i] = np.frombuffer(xxhash.xxh3_128_digest(own), np.int64)
+            if c >= width:
+                s = np.sort(gram[begin : begin + c - width + 1])
+                s = s[np.append(True, s[1:] != s[:-1])]
+            else:
+                s = np.array([xxhash.xxh3_64_intdigest(own)], np.uint64)
+            out.append(s)
+            many[i] = len(s)
+            begin += c
+    return many, np.concatenate(out) if out else np.empty(0, np.uint64), keys

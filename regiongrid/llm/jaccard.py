@@ -18,10 +18,11 @@ passages that many documents share are left out first, any order gives the same
 links.
 
 Groups. Copies (equal word sequences) are folded into their smallest doc_id
-before signatures are made. In each group of equal signatures the members are
-verified against the smallest doc_id, a star, not all pairs; only members that
-these links leave in different components are compared further. Verification
-is the exact intersection of the shingle sets.
+before signatures are made. A document is verified against one document first:
+the smallest of fitting size among its groups of equal signatures; a group is
+never expanded into all pairs for that. Only members that such links leave in
+different components, in rounds, are compared further, groups with the same
+members once. Verification is the exact intersection of the shingle sets.
 
 Defined results: null and empty texts have an empty set, link with nothing and
 are their own component; rows that share a doc_id count as one document; a null
@@ -39,39 +40,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import lower_words, materialise, shingle_hashes, sized
+from .common import materialise, mix, shingle_sets, sized
 
 WIDTH = 5
 THRESHOLD = 75
 CELLS = 1 << 18  # of the counting sketch: 1 MB in all
 BLOCK = 1 << 12
-PIECE = 400_000  # shingles handled at once in a Python worker
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser."""
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
-
-
-def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """(sizes, values) of a list column."""
-    offsets = column.offsets.to_numpy()
-    values = column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
-    return np.diff(offsets), values.view(np.uint64)
-
-
-def _pieces(sizes: np.ndarray, most: int = PIECE) -> Iterator[slice]:
-    """Runs of rows with at most ``most`` values, or one row."""
-    ends, start = np.cumsum(sizes), 0
-    while start < len(sizes):
-        done = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, done + most, side="right")))
-        yield slice(start, stop)
-        start = stop
-
 
 def band_of(sizes: np.ndarray) -> np.ndarray:
     """Number of the size band [4^b, 4^(b+1) - 1]."""
@@ -107,18 +83,18 @@ def signatures(
         local = np.repeat(np.arange(len(rows)), size)
         at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(starts[rows], size)
         h = values[at]
-        part = (_mix(h ^ np.uint64(0x9E3779B97F4A7C15)) % n1[local].astype(np.uint64)).astype(np.int64)
+        part = (mix(h ^ np.uint64(0x9E3779B97F4A7C15)) % n1[local].astype(np.uint64)).astype(np.int64)
         base = np.cumsum(n1) - n1
         cell = base[local] + part  # numbers all partitions of all sets
         order = np.argsort(cell, kind="stable")
         cells, first = np.unique(cell[order], return_index=True)
         with np.errstate(over="ignore"):
-            content = np.add.reduceat(_mix(h[order]), first)
+            content = np.add.reduceat(mix(h[order]), first)
         warm = np.minimum.reduceat(heat[(h[order] & np.uint64(CELLS - 1)).astype(np.int64)], first)
         owner = np.searchsorted(base, cells, side="right") - 1
         with np.errstate(over="ignore"):
             place = (cells - base[owner]).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + (band[rows] + up)[owner].astype(np.uint64)
-            sig = _mix(content ^ _mix(place))
+            sig = mix(content ^ mix(place))
         rank = np.lexsort((sig, warm, owner))
         seen = np.bincount(owner, minlength=len(rows))
         turn = np.arange(len(rank)) - np.repeat(np.cumsum(seen) - seen, seen)
@@ -129,39 +105,60 @@ def signatures(
             empty = np.setdiff1d(np.arange(n1[r]), cells[owner == r] - base[r]).astype(np.uint64)
             with np.errstate(over="ignore"):
                 place = empty * np.uint64(0x9FB21C651E98DF25) + np.uint64(band[rows[r]] + up)
-                out_sig.append(_mix(~_mix(place)))
+                out_sig.append(mix(~mix(place)))
             out_doc.append(np.full(len(empty), docs[rows[r]]))
     if not out_sig:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     return np.concatenate(out_sig), np.concatenate(out_doc)
 
 
-def _shingled(docs: DataFrame, width: int, *extra: Column) -> DataFrame:
-    d = docs.select("doc_id", lower_words(F.col("text")).alias("words"))
-    return d.select("doc_id", *extra, shingle_hashes(F.col("words"), width).alias("shingles"))
+def _texts(batch: pa.RecordBatch, name: str = "text", most: int = 3_000_000) -> Iterator[tuple[slice, list[bytes]]]:
+    """Runs of rows of up to ``most`` bytes of text, or one row."""
+    texts, size, start = [], 0, 0
+    for i, t in enumerate(batch.column(name)):
+        texts.append((t.as_py() or "").encode("utf-8", "surrogatepass"))
+        size += len(texts[-1])
+        if size >= most:
+            yield slice(start, i + 1), texts
+            texts, size, start = [], 0, i + 1
+    if texts:
+        yield slice(start, batch.num_rows), texts
 
 
-def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class _Survey:
     """Rows of the documents, then the partition's counts of shingle cells."""
-    cells = np.zeros(CELLS, dtype=np.int64)
-    names = ["doc_id", "n_shingles", "k1", "k2", "block", "counts"]
-    for batch in batches:
-        sizes, values = _lists(batch.column("shingles"))
-        cells += np.bincount((values & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-        n = len(sizes)
+
+    def __init__(self, width: int):
+        self.width = width
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(CELLS, dtype=np.int64)
+        names = ["doc_id", "n_shingles", "k1", "k2", "block", "counts"]
+        for batch in batches:
+            for rows, texts in _texts(batch):
+                sizes, values, keys = shingle_sets(texts, self.width)
+                cells += np.bincount((values & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+                n = len(sizes)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id")[rows],
+                        pa.array(sizes, pa.int64()),
+                        pa.array(keys[:, 0].copy()),
+                        pa.array(keys[:, 1].copy()),
+                        pa.nulls(n, pa.int32()),
+                        pa.nulls(n, pa.list_(pa.int64())),
+                    ],
+                    names=names,
+                )
+        found = [i for i in range(CELLS // BLOCK) if cells[i * BLOCK : (i + 1) * BLOCK].any()]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sizes, pa.int64()), batch.column("k1"), batch.column("k2"), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int64()))],
+            [
+                *[pa.nulls(len(found), pa.int64())] * 4,
+                pa.array(found, pa.int32()),
+                pa.array([cells[i * BLOCK : (i + 1) * BLOCK] for i in found], pa.list_(pa.int64())),
+            ],
             names=names,
         )
-    rows = [i for i in range(CELLS // BLOCK) if cells[i * BLOCK : (i + 1) * BLOCK].any()]
-    yield pa.RecordBatch.from_arrays(
-        [
-            *[pa.nulls(len(rows), pa.int64())] * 4,
-            pa.array(rows, pa.int32()),
-            pa.array([cells[i * BLOCK : (i + 1) * BLOCK] for i in rows], pa.list_(pa.int64())),
-        ],
-        names=names,
-    )
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,40 +173,57 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Enumerate:
-    def __init__(self, heat: np.ndarray, threshold: int):
-        self.heat, self.threshold = heat, threshold
+    def __init__(self, heat: np.ndarray, threshold: int, width: int):
+        self.heat, self.threshold, self.width = heat, threshold, width
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs = batch.column("doc_id").to_numpy()
-            sizes, values = _lists(batch.column("shingles"))
-            starts = np.concatenate([[0], np.cumsum(sizes)])
-            for rows in _pieces(sizes):
-                sig, doc = signatures(
-                    docs[rows], sizes[rows], values[starts[rows.start] : starts[rows.stop]], self.heat, self.threshold
+            for rows, texts in _texts(batch):
+                sizes, values, _ = shingle_sets(texts, self.width)
+                sig, at = signatures(np.arange(len(sizes)), sizes, values, self.heat, self.threshold)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(sig.view(np.int64)), pa.array(docs[rows][at]), pa.array(sizes[at].astype(np.int32))], names=["sig", "doc_id", "n"]
                 )
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(doc)], names=["sig", "doc_id"])
+
+
+class _Compare:
+    """The pairs whose shingle sets link."""
+
+    def __init__(self, threshold: int, width: int):
+        self.threshold, self.width = threshold, width
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, centre = None, None
+        for batch in batches:
+            keep = []
+            ids = batch.column("a").to_pylist()
+            own = batch.column("ta")
+            for rows, texts in _texts(batch, "tb"):
+                sizes, values, _ = shingle_sets(texts, self.width)
+                stops = np.cumsum(sizes)
+                for i in range(rows.start, rows.stop):
+                    if ids[i] != last or centre is None:
+                        last = ids[i]
+                        centre = shingle_sets([(own[i].as_py() or "").encode("utf-8", "surrogatepass")], self.width)[1]
+                    k = i - rows.start
+                    member = values[stops[k] - sizes[k] : stops[k]]
+                    both = len(np.intersect1d(centre, member, assume_unique=True))
+                    keep.append(100 * both >= self.threshold * (len(centre) + len(member) - both) and both > 0)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def verified(docs: DataFrame, pairs: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH) -> DataFrame:
     """The pairs (a, b) whose shingle sets link, by exact intersection.
 
-    ``pairs`` is materialised. Only the texts that occur in it are read on.
+    ``pairs`` is materialised. Only the texts that occur in it are moved. Rows
+    that share a doc_id link if any of their texts does.
     """
     small = docs.select("doc_id", "text")
-    members = small.join(sized(pairs.select(F.col("b").alias("doc_id"), "a")), "doc_id").select("doc_id", "text", "a")
-    member = members.select("a", F.col("doc_id").alias("b"), lower_words(F.col("text")).alias("words")).select(
-        "a", "b", shingle_hashes(F.col("words"), width).alias("sb")
-    )
-    centres = small.join(sized(pairs.select(F.col("a").alias("doc_id")).distinct()), "doc_id").dropDuplicates(["doc_id"])
-    centre = _shingled(centres, width).select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return (
-        member.join(centre, "a")
-        .where(100 * both >= threshold * (F.size("sa") + F.size("sb") - both))
-        .select("a", "b")
-        .distinct()
-    )
+    member = small.join(sized(pairs.select(F.col("b").alias("doc_id"), "a")), "doc_id").select("a", F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    centre = small.join(sized(materialise(pairs.select(F.col("a").alias("doc_id")).distinct(), "centres")), "doc_id")
+    both = member.join(centre.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+    return both.select("a", "b", "ta", "tb").mapInArrow(_Compare(threshold, width), "a long, b long").distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -244,15 +258,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 def survey(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, n_shingles, k1, k2) of every row, and the counting sketch of all shingles."""
-    d = docs.select("doc_id", lower_words(F.col("text")).alias("words"))
-    d = d.select(
-        "doc_id",
-        F.xxhash64("words").alias("k1"),
-        F.xxhash64(F.lit(1), "words").alias("k2"),
-        shingle_hashes(F.col("words"), width).alias("shingles"),
-    )
     schema = "doc_id long, n_shingles long, k1 long, k2 long, block int, counts array<long>"
-    seen = materialise(d.mapInArrow(_survey, schema), "survey")
+    seen = materialise(docs.select("doc_id", "text").mapInArrow(_Survey(width), schema), "survey")
     blocks = seen.where("block IS NOT NULL").select("block", "counts")
     summed = blocks.repartition(CELLS // BLOCK // 4, "block").mapInArrow(_added, "block int, counts array<long>")
     heat = np.zeros(CELLS, dtype=np.int64)
@@ -261,9 +268,33 @@ def survey(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, np.ndarray]:
     return seen.where("block IS NULL").drop("block", "counts"), heat
 
 
-def _star(groups: DataFrame) -> DataFrame:
-    pairs = groups.where("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b"))
-    return materialise(pairs.distinct(), "pairs")
+def _fits(a: str, b: str, threshold: int) -> Column:
+    """Sizes ``a`` and ``b`` allow a link."""
+    return 100 * F.least(a, b) >= threshold * F.greatest(a, b)
+
+
+def _parts(groups: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of the groups whose members are in several components, with these; one of each kind of group."""
+    component = materialise(connected_components(found), "components")
+    at = groups.join(sized(component), groups["doc_id"] == component["node"], "left").select(
+        "sig", "doc_id", "n", F.coalesce("component", "doc_id").alias("part")
+    )
+    apart = (
+        at.groupBy("sig")
+        .agg(
+            F.min("part").alias("p"),
+            F.max("part").alias("q"),
+            F.count("*").alias("c"),
+            F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("s"),
+            F.min("doc_id").alias("u"),
+            F.max("doc_id").alias("v"),
+        )
+        .where("p < q")
+        .groupBy("c", "s", "u", "v")
+        .agg(F.min("sig").alias("sig"))
+        .select("sig")
+    )
+    return materialise(at.join(apart, "sig"), "apart")
 
 
 def links(docs: DataFrame, folded: DataFrame, heat: np.ndarray, threshold: int = THRESHOLD, width: int = WIDTH) -> DataFrame:
@@ -274,29 +305,33 @@ def links(docs: DataFrame, folded: DataFrame, heat: np.ndarray, threshold: int =
     """
     rest = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     rest = rest.join(sized(folded), "doc_id", "left_anti")
-    rows = _shingled(rest, width).mapInArrow(_Enumerate(heat, threshold), "sig long, doc_id long")
+    rows = rest.mapInArrow(_Enumerate(heat, threshold, width), "sig long, doc_id long, n int")
     by_sig = W.partitionBy("sig")
     groups = (
-        rows.withColumn("centre", F.min("doc_id").over(by_sig))
+        rows.withColumn("centre", F.min(F.struct("doc_id", F.col("n").alias("m"))).over(by_sig))
         .withColumn("last", F.max("doc_id").over(by_sig))
-        .where("centre < last")
-        .drop("last")
+        .where("centre.doc_id < last")
+        .select("sig", "doc_id", "n", F.col("centre.doc_id").alias("centre"), F.col("centre.m").alias("m"))
     )
     groups = materialise(groups, "groups")
-    stars = _star(groups)
-    found = materialise(verified(docs, stars, threshold, width), "links")
-    component = materialise(connected_components(found), "components")
-    # what the stars left apart within a group is compared across components
-    at = groups.join(component, groups["doc_id"] == component["node"], "left").select(
-        "sig", "doc_id", F.coalesce("component", "doc_id").alias("part")
-    )
-    apart = at.groupBy("sig").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("sig")
-    at = materialise(at.join(apart, "sig").distinct(), "apart")
-    left, right = (at.select("sig", F.col("doc_id").alias(n), F.col("part").alias(f"part_{n}")) for n in "ab")
-    across = left.join(right, "sig").where("a < b AND part_a <> part_b").select("a", "b").distinct()
-    across = materialise(across.join(stars, ["a", "b"], "left_anti"), "across")
-    more = verified(docs, across, threshold, width)
-    return materialise(found.unionByName(more), "all_links")
+    tried = groups.where(F.col("doc_id") != F.col("centre")).where(_fits("n", "m", threshold))
+    tried = materialise(tried.groupBy(F.col("doc_id").alias("b")).agg(F.min("centre").alias("a")).select("a", "b"), "stars")
+    found = materialise(verified(docs, tried, threshold, width), "links")
+    # a second star where components are still apart: the smallest member of another one
+    at = _parts(groups.select("sig", "doc_id", "n"), found)
+    head = at.groupBy("sig").agg(F.min(F.struct("part", "doc_id", "n")).alias("h"))
+    more = at.join(head, "sig").where("part <> h.part").where(_fits("n", "h.n", threshold))
+    more = more.select(F.least("doc_id", "h.doc_id").alias("a"), F.greatest("doc_id", "h.doc_id").alias("b"))
+    more = more.join(tried, ["a", "b"], "left_anti").groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    more = materialise(more, "second_stars")
+    tried = tried.unionByName(more)
+    found = materialise(found.unionByName(verified(docs, more, threshold, width)), "more_links")
+    # what is still apart is compared across components, copies of a group once
+    at = _parts(at.select("sig", "doc_id", "n"), found)
+    left, right = (at.select("sig", F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("part").alias(f"part_{x}")) for x in "ab")
+    across = left.join(right, "sig").where("a < b AND part_a <> part_b").where(_fits("n_a", "n_b", threshold)).select("a", "b").distinct()
+    across = materialise(across.join(tried, ["a", "b"], "left_anti"), "across")
+    return materialise(found.unionByName(verified(docs, across, threshold, width)), "all_links")
 
 
 def jaccard_classes(docs: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH) -> DataFrame:
