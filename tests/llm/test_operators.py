@@ -1,0 +1,341 @@
+"""Each operator against a brute-force version, on a small table with the awkward rows."""
+
+import base64
+import collections
+import hashlib
+import random
+import re
+import zlib
+from datetime import date
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from regiongrid.llm import chat, decontaminate, html_extract, jaccard, packing, pii, quality_mil, rules, suffix_dedup, warc
+
+WORDS = "the of and to in time river stone light carry window garden paper north seven music bridge yellow winter market".split()
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def lower(w):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), w)
+
+
+def make_rows():
+    r = random.Random(9)
+    line = lambda n: " ".join(r.choice(WORDS) + r.choice(["", "", "s", "ing"]) for _ in range(n))
+    base = line(120)
+    near = base.split()
+    near[40] = "changed"
+    passage = line(40)
+    texts = [base, base, " ".join(near), base.upper(), None, "", " \n\t ", "one", "two words", "one", line(9), line(4000)]
+    texts += [line(30) + "\n" + passage + "\n" + line(25) for _ in range(6)]
+    texts += ["a" * 700, "é" * 60 + " ü " + "é" * 80, "x y " * 300, line(50) + "\n" + line(3) + "\n" + line(3)]
+    for i in range(12):  # loose copies
+        w = base.split()
+        for _ in range(i):
+            w[r.randrange(len(w))] = f"w{r.randrange(9999)}"
+        texts.append(" ".join(w))
+    return [(i, t) for i, t in enumerate(texts)], passage
+
+
+ROWS, PASSAGE = make_rows()
+CLASH = "doc_id long, text string, words int, _doc int, label int, part int, a int, sig int, r0 int, length int"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, *[7] * 8) for i, t in [*ROWS, ROWS[2]]]  # one row twice, columns that clash
+    return spark.createDataFrame(rows, CLASH).repartition(5).persist()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], CLASH)
+
+
+def test_suffix_array():
+    r = random.Random(1)
+    for _ in range(100):
+        t = bytes(r.choice(b"abc") for _ in range(r.randint(1, 50))) + b"\0"
+        assert suffix_dedup.suffix_array(np.frombuffer(t, np.uint8), 64).tolist() == sorted(range(len(t)), key=lambda i: t[i:])
+
+
+def test_repeats(docs, none):
+    seen, want = set(), collections.defaultdict(list)
+    for i, t in sorted([*ROWS, ROWS[2]], key=lambda x: x[0]):
+        b = (t or "").encode()
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - 99):
+            if b[k : k + 100] in seen:
+                gone[k : k + 100] = True
+            seen.add(b[k : k + 100])
+        kept = bytes(np.frombuffer(b, np.uint8)[~gone])
+        runs = int(np.sum(np.diff(gone.astype(int), prepend=0) == 1))
+        want[i].append((len(b), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()))
+    got = collections.defaultdict(list)
+    for r in suffix_dedup.repeat_digests(docs).collect():
+        got[r["doc_id"]].append((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    assert suffix_dedup.repeat_digests(none).isEmpty()
+
+
+def shingles(text):
+    w = [lower(x) for x in words(text)]
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def test_jaccard(docs, none):
+    sets = {i: shingles(t) for i, t in ROWS}
+    top = {i: i for i in sets}
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and both and 100 * both >= 75 * len(sets[a] | sets[b]):
+                x, y = root(a), root(b)
+                top[max(x, y)] = min(x, y)
+    got = jaccard.jaccard_classes(docs).collect()
+    assert len(got) == len(ROWS) + 1
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {i: (len(s), root(i)) for i, s in sets.items()}
+    assert jaccard.jaccard_classes(none).isEmpty()
+    kept = [r["doc_id"] for r in jaccard.keep_one(docs).collect()]
+    assert set(kept) == {i for i in sets if root(i) == i} and "sig" in jaccard.keep_one(docs).columns
+
+
+def test_signatures_of_linked_sets_meet():
+    r = np.random.default_rng(3)
+    heat = r.integers(0, 9, jaccard.CELLS)
+    for size in (1, 2, 5, 13, 16, 60, 64, 200, 700):
+        for _ in range(20):
+            a = np.unique(r.integers(0, 2**63, size, dtype=np.uint64))
+            drop, add = r.integers(0, len(a) // 5 + 1, 2)
+            b = np.unique(np.append(a[drop:], r.integers(0, 2**63, add, dtype=np.uint64)))
+            both = len(np.intersect1d(a, b))
+            if both and 100 * both >= 75 * (len(a) + len(b) - both):
+                sig, doc = jaccard.signatures(np.array([0, 1]), np.array([len(a), len(b)]), np.concatenate([a, b]), heat)
+                assert set(sig[doc == 0]) & set(sig[doc == 1])
+
+
+def test_components(spark):
+    r = random.Random(2)
+    pairs = [(r.randrange(300), r.randrange(300)) for _ in range(200)]
+    top = list(range(300))
+    for _ in range(300):
+        for a, b in pairs:
+            top[a] = top[b] = min(top[a], top[b])
+    got = jaccard.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert {x["node"]: x["component"] for x in got} == {x: top[x] for p in pairs for x in p if p[0] != p[1]} | {a: top[a] for a, b in pairs if a == b and any(a in q and q[0] != q[1] for q in pairs)}
+
+
+def test_decontamination(spark, docs, none):
+    long_item = " ".join(PASSAGE.split()[:36])
+    items = spark.createDataFrame([(1, long_item), (2, "nothing like that is anywhere in here at all"), (3, None), (4, ""), (5, "two words"), (6, long_item), (None, "x")], "item_id long, text string")
+    want = {}
+    for i, t in ROWS:
+        w = [lower(x) for x in words(t)]
+        grams = {n: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} for n in (2, 5)}
+        hits = []
+        for item, text in ((1, long_item), (2, "nothing like that is anywhere in here at all"), (5, "two words"), (6, long_item)):
+            q = shingles(text)
+            n = len(next(iter(q)))
+            if 100 * len(q & grams[n]) >= 75 * len(q):
+                hits.append(item)
+        want[i] = (bool(hits), len(hits), min(hits, default=None))
+    got = decontaminate.decontaminate(docs, items).collect()
+    assert len(got) == len(ROWS) + 1 and sum(v[0] for v in want.values()) >= 7
+    assert {r["doc_id"]: (r["contaminated"], r["n_items"], r["first_item"]) for r in got} == want
+    assert {r["doc_id"] for r in decontaminate.remove_contaminated(docs, items).collect()} == {i for i, v in want.items() if not v[0]}
+    assert decontaminate.decontaminate(none, items).isEmpty()
+    assert decontaminate.decontaminate(docs, items.limit(0)).where("contaminated").isEmpty()
+
+
+def test_packing(docs, none):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    t = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    rows = packing.pack_digests(docs).collect()
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r["doc_id"]].append(r)
+    for i, text in ROWS:
+        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+        for r in by[i]:
+            assert zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"]
+        assert sum(r["length"] for r in by[i]) == len(ids) * (2 if i == 2 else 1)
+        assert all(r["length"] == 1024 for r in by[i] if r["piece"])
+    seq = collections.defaultdict(list)
+    for r in rows:
+        seq[r["sequence_id"]].append((r["offset"], r["length"]))
+    for s in seq.values():
+        at = 0
+        for offset, length in sorted(s):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert packing.pack_digests(none).isEmpty()
+    text = "a <|endoftext|> b"
+    assert packing.encode(text).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_plan():
+    r = np.random.default_rng(5)
+    for shape in (1, 60, 700):
+        h = np.zeros(1025, np.int64)
+        np.add.at(h, np.minimum(1024, r.geometric(1 / shape, 3000)), 1)
+        used = np.zeros(1025, np.int64)
+        made = packing.plan(h)
+        for contents, n in made:
+            assert sum(contents) <= 1024
+            np.add.at(used, list(contents), n)
+        assert (used == h).all()
+        assert sum(n for _, n in made) <= np.ceil((h * np.arange(1025)).sum() / 1024) * 1.03 + 1
+
+
+def test_pii(spark, none):
+    text = "mail bob.x@site.example.org card 4111 1111 1111 1111 or 4952935900253052, not 4111111111111112; ip 10.0.0.1 not 300.1.1.1; tel +1 (017) 555-7713, 415-555-2671; ssn 123-45-6789 not 000-12-3456; born 1980-02-29 not 1981-02-29, 31.12.1999; token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\""
+    d = spark.createDataFrame([(1, text, 5), (2, text + " v4.0.1 end", 5), (3, None, 5), (4, "", 5), (5, "plain 12345", 5)], "doc_id long, text string, m int")
+    out = {r["doc_id"]: r for r in pii.pseudonymise(d, counted="n").collect()}
+    got = out[1]["text"]
+    for gone in ("bob.x@", "4111 1111 1111 1111", "4952935900253052", "10.0.0.1", "555-7713", "555-2671", "123-45-6789", "1980-02-29", "31.12.1999", "04dbebab"):
+        assert gone not in got
+    for stays in ("not 4111111111111112", "not 300.1.1.1", "not 000-12-3456", "not 1981-02-29", "token = \"", "tel +1 ("):
+        assert stays in got
+    assert out[2]["text"] == got + " v4.0.1 end" and out[1]["n"] == 10 and out[1]["m"] == 5
+    assert (out[3]["text"], out[4]["text"], out[5]["text"]) == (None, "", "plain 12345")
+    card = re.search(r"card ([\d ]+) or (\d+)", got)
+    for c in (card[1].replace(" ", ""), card[2]):
+        digits = [int(x) for x in c][::-1]
+        assert (sum(digits[::2]) + sum(sum(divmod(2 * x, 10)) for x in digits[1::2])) % 10 == 0
+    date.fromisoformat(re.search(r"born (\S+)", got)[1])
+    assert re.fullmatch(r"\d{4} \d{4} \d{4} \d{4}", card[1])
+    assert pii.pseudonymise(none).isEmpty()
+
+
+def test_feistel_is_a_permutation(spark):
+    d = spark.range(7 * 11).select(pii.feistel(F.col("id"), F.lit(7).cast("bigint"), F.lit(11).cast("bigint"), "t", "k").alias("v"))
+    assert sorted(r["v"] for r in d.collect()) == list(range(77))
+
+
+def test_rules(docs, none):
+    for r in rules.quality_rules(docs).collect():
+        text = dict(ROWS)[r["doc_id"]] or ""
+        w = words(text)
+        at = collections.defaultdict(list)
+        for k in range(len(w) - 4):
+            at[tuple(w[k : k + 5])].append(k)
+        covered = {k + j for ks in at.values() if len(ks) > 1 for k in ks for j in range(5)}
+        lines = [x for x in text.split("\n") if words(x)]
+        want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered))
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
+        assert r["base_failed"] == (len(w) < 10 or 100 * len(covered) > 20 * len(w)) and not (r["base_failed"] and r["kept"])
+    assert rules.quality_rules(none).isEmpty()
+
+
+def test_warc(spark, none, tmp_path):
+    rows = [(1, "u1", "<p>x</p>"), (2, "u2", "<p>x</p>"), (3, "u3", None), (4, "u4", ""), (5, None, "é\r\n\r\n<b>"), (6, "u6", "<p>x</p>"), (6, "u6", "<p>x</p>")]
+    p = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, digest int").repartition(3)
+    want = []
+    for i, _, h in rows:
+        b = (h or "").encode()
+        top = max(j for j, _, g in rows if (g or "") == (h or ""))
+        want.append((i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if i == top else "revisit", None if i == top else top))
+    assert sorted(map(tuple, warc.round_trip(p).collect()), key=str) == sorted(want, key=str)
+    big = {r["page_id"]: r["record_type"] for r in warc.round_trip(p, min_bytes=1).collect()}
+    assert big[3] == big[4] == "response" and big[1] == "revisit"
+    for kind in ("gzip", "none"):
+        path = warc.archive_pages(p, f"file://{tmp_path}/{kind}", compression=kind)
+        found = warc.read_archives(spark, path).where("record_type = 'response'").collect()
+        assert {(int(r["record_id"]), bytes(r["payload"]).decode()) for r in found} == {(i, h or "") for (i, _, h), w in zip(rows, want, strict=True) if w[3] == "response"}
+        one = warc.read_archives(spark, path).where("target_uri = 'u2'")
+        assert [r["refers_to"] for r in one.collect()] == ["6"]
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.round_trip(empty).isEmpty()
+
+
+def test_html(spark):
+    page = """<html><head><title>T</title><script>if (a<b) "</p>"</script></head><body><header>Site</header><nav><ul><li><a href=/a>A</a><li>B</ul></nav>
+    <div class="ad">Buy</div><article><h1>Big &amp; small</h1><p>First <b>part<br>of</b> it.<p>Second &eacute;<div class="advert">now!</div><p>Third</article>
+    <aside class=sidebar>Side</aside><section id="comments"><p>I think so too.</p></section><form><label>Mail</label></form><footer>&copy; Us</footer>"""
+    rows = [(1, "u", page), (2, "u", None), (3, "u", ""), (4, None, "<article><p>Only <a href=\"x>y</p></article>"), (1, "u", page)]
+    got = [tuple(r) for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    text = "Big & small First part of it. Second é Third"
+    assert got[0] == got[4] == (1, "u", text, len(text)) and got[1][2:] == got[2][2:] == ("", 0)
+
+
+def test_crf_on_held_out_pages():
+    model = html_extract.default_model()
+    wrong = total = 0
+    for rows, labels in html_extract.labelled_pages(60, seed=77):
+        wrong += sum(a != b for a, b in zip(model.decode(rows), labels, strict=True))
+        total += len(labels)
+    assert wrong < 0.02 * total
+
+
+def test_quality_classifier(spark, none):
+    r = random.Random(5)
+    good = lambda: " ".join(r.choice(WORDS) for _ in range(80)) + "."
+    bad = lambda: " ".join(r.choice(WORDS).upper() + "!!" for _ in range(80))
+    rows = [(i, bad() if i % 4 == 0 else good()) for i in range(300)] + [(300, None), (301, ""), (302, good() * 40)]
+    docs = spark.createDataFrame([(i, t, 3) for i, t in rows], "doc_id long, text string, label int")
+    labels = spark.createDataFrame([(i, 0 if i % 4 == 0 else 1) for i in range(300)] + [(None, 1), (5, None), (9999, 1)], "doc_id long, quality int")
+    got = {x["doc_id"]: x for x in quality_mil.score_documents(docs, labels).collect()}
+    assert len(got) == 303 and all(0 <= x["score"] <= 1 for x in got.values())
+    assert all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i in got)
+    assert sum(got[i]["predicted"] == (i % 4 != 0) for i in range(300) if got[i]["held_out"]) >= 0.95 * sum(got[i]["held_out"] for i in range(300))
+    assert quality_mil.score_documents(none, labels).isEmpty()
+    assert {x["score"] for x in quality_mil.score_documents(docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_mil_gradient():
+    r = np.random.default_rng(2)
+    f, number, y = r.normal(size=(9, quality_mil.N_FEATURES)), np.array([2, 3, 4]), np.array([0.0, 1.0, 1.0])
+    m = quality_mil.Model(np.zeros(quality_mil.N_FEATURES), np.ones(quality_mil.N_FEATURES))
+
+    def loss():
+        p = m.forward(f, number)[0]
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+
+    p, c = m.forward(f, number)
+    for name, g in m.gradient(y, p, c, number).items():
+        at = tuple(0 for _ in g.shape)
+        before = m.w[name][at]
+        m.w[name][at] = before + 1e-5
+        up = loss()
+        m.w[name][at] = before - 1e-5
+        down = loss()
+        m.w[name][at] = before
+        assert abs((up - down) / 2e-5 - g[at]) < 1e-6
+
+
+def test_chat(spark):
+    rows = []
+    for c in range(40):
+        rows += [(c, 0, "system", "Be kind.", 1)] * (c % 3 == 0)
+        for k in range(1, 6):
+            rows.append((c, k, "user" if k % 2 else "assistant", f"Line {k} of talk.\nMore text: with a colon?\n\nEnd {c}.", 1))
+    rows += [(None, None, "user", None, 1), (50, 1, None, "who", 1), rows[0]]
+    rows += [(60, k, "user" if k % 2 else "assistant", f"t {k}", 1) for k in range(700)]
+    t = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, style int").repartition(4)
+    got = chat.format_chats(t).collect()
+    assert sum(r["n_turns"] for r in got) == len(rows) - 1
+    assert sum(r["n_right"] for r in got) >= 0.97 * len(rows)
+    assert sorted(r["segment"] for r in got if r["conv_id"] == 60) == [0, 1, 2]
+    assert chat.format_chats(t.limit(0)).isEmpty()
+    assert got and all(r["text"].startswith("<|im_start|>") for r in got)
+
+
+def test_chat_markers():
+    assert chat.marker("### Assistant: hi") == ("assistant", "hi") and chat.marker("Note: hi") == (None, "Note: hi")
+    assert chat.marker("user likes") == (None, "user likes") and chat.marker("[Human] x")[0] == "user"
