@@ -21,8 +21,12 @@ Groups. Copies (equal word sequences) are folded into their smallest doc_id
 before signatures are made. A document is verified against one document first:
 the smallest of fitting size among its groups of equal signatures; a group is
 never expanded into all pairs for that. Only members that such links leave in
-different components, in rounds, are compared further, groups with the same
-members once. Verification is the exact intersection of the shingle sets.
+different components are compared further, groups with the same members once.
+Of two members a and b with the same first partner c, the intersection is at most
+min(|a & c|, |b & c|) plus the shingles outside c that they share. So they are
+compared only if the minimum alone allows a link, or if a join of the shingles
+outside c shows that they share enough of these: a family of loose copies of one
+text is not paired off. Verification is the exact intersection of the sets.
 
 Defined results: null and empty texts have an empty set, link with nothing and
 are their own component; rows that share a doc_id count as one document; a null
@@ -187,18 +191,21 @@ class _Enumerate:
                 )
 
 
+COMPARED = "a long, b long, n_a long, n_b long, both long, linked boolean, outside array<long>"
+NEAR = 30  # percent: shingles outside the partner are listed for pairs at least so similar
+
+
 class _Compare:
-    """The pairs whose shingle sets link."""
+    """Exact intersection of the pairs (a, ta) and (b, tb)."""
 
-    def __init__(self, threshold: int, width: int):
-        self.threshold, self.width = threshold, width
+    def __init__(self, threshold: int, width: int, outside: bool):
+        self.threshold, self.width, self.outside = threshold, width, outside
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, centre = None, None
         for batch in batches:
-            keep = []
-            ids = batch.column("a").to_pylist()
-            own = batch.column("ta")
+            ids, own = batch.column("a").to_pylist(), batch.column("ta")
+            out: list[list] = [[], [], [], [], []]
             for rows, texts in _texts(batch, "tb"):
                 sizes, values, _ = shingle_sets(texts, self.width)
                 stops = np.cumsum(sizes)
@@ -209,21 +216,30 @@ class _Compare:
                     k = i - rows.start
                     member = values[stops[k] - sizes[k] : stops[k]]
                     both = len(np.intersect1d(centre, member, assume_unique=True))
-                    keep.append(100 * both >= self.threshold * (len(centre) + len(member) - both) and both > 0)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                    union = len(centre) + len(member) - both
+                    near = self.outside and 100 * both >= NEAR * union
+                    extra = np.setdiff1d(member, centre, assume_unique=True).view(np.int64) if near else None
+                    for column, value in zip(out, (len(centre), len(member), both, 100 * both >= self.threshold * union and both > 0, extra), strict=True):
+                        column.append(value)
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("b"), *[pa.array(c, t) for c, t in zip(out, types, strict=True)]],
+                names=["a", "b", "n_a", "n_b", "both", "linked", "outside"],
+            )
 
 
-def verified(docs: DataFrame, pairs: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH) -> DataFrame:
-    """The pairs (a, b) whose shingle sets link, by exact intersection.
+def compared(docs: DataFrame, pairs: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH, outside: bool = False) -> DataFrame:
+    """The pairs (a, b) with sizes, exact intersection and whether they link.
 
     ``pairs`` is materialised. Only the texts that occur in it are moved. Rows
-    that share a doc_id link if any of their texts does.
+    that share a doc_id are compared apiece. ``outside`` lists the shingles of b
+    that a lacks, for pairs that are near.
     """
     small = docs.select("doc_id", "text")
     member = small.join(sized(pairs.select(F.col("b").alias("doc_id"), "a")), "doc_id").select("a", F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     centre = small.join(sized(materialise(pairs.select(F.col("a").alias("doc_id")).distinct(), "centres")), "doc_id")
     both = member.join(centre.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    return both.select("a", "b", "ta", "tb").mapInArrow(_Compare(threshold, width), "a long, b long").distinct()
+    return both.select("a", "b", "ta", "tb").mapInArrow(_Compare(threshold, width, outside), COMPARED)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -273,9 +289,8 @@ def _fits(a: str, b: str, threshold: int) -> Column:
     return 100 * F.least(a, b) >= threshold * F.greatest(a, b)
 
 
-def _parts(groups: DataFrame, found: DataFrame) -> DataFrame:
+def _apart(groups: DataFrame, component: DataFrame) -> DataFrame:
     """Rows of the groups whose members are in several components, with these; one of each kind of group."""
-    component = materialise(connected_components(found), "components")
     at = groups.join(sized(component), groups["doc_id"] == component["node"], "left").select(
         "sig", "doc_id", "n", F.coalesce("component", "doc_id").alias("part")
     )
@@ -294,7 +309,13 @@ def _parts(groups: DataFrame, found: DataFrame) -> DataFrame:
         .agg(F.min("sig").alias("sig"))
         .select("sig")
     )
-    return materialise(at.join(apart, "sig"), "apart")
+    return at.join(apart, "sig")
+
+
+def _sides(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``df`` twice, its columns but the keys renamed to those of a and of b."""
+    rest = [c for c in df.columns if c not in (*keys, "doc_id")]
+    return tuple(df.select(*keys, F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in rest]) for x in "ab")
 
 
 def links(docs: DataFrame, folded: DataFrame, heat: np.ndarray, threshold: int = THRESHOLD, width: int = WIDTH) -> DataFrame:
@@ -314,24 +335,31 @@ def links(docs: DataFrame, folded: DataFrame, heat: np.ndarray, threshold: int =
         .select("sig", "doc_id", "n", F.col("centre.doc_id").alias("centre"), F.col("centre.m").alias("m"))
     )
     groups = materialise(groups, "groups")
-    tried = groups.where(F.col("doc_id") != F.col("centre")).where(_fits("n", "m", threshold))
-    tried = materialise(tried.groupBy(F.col("doc_id").alias("b")).agg(F.min("centre").alias("a")).select("a", "b"), "stars")
-    found = materialise(verified(docs, tried, threshold, width), "links")
-    # a second star where components are still apart: the smallest member of another one
-    at = _parts(groups.select("sig", "doc_id", "n"), found)
-    head = at.groupBy("sig").agg(F.min(F.struct("part", "doc_id", "n")).alias("h"))
-    more = at.join(head, "sig").where("part <> h.part").where(_fits("n", "h.n", threshold))
-    more = more.select(F.least("doc_id", "h.doc_id").alias("a"), F.greatest("doc_id", "h.doc_id").alias("b"))
-    more = more.join(tried, ["a", "b"], "left_anti").groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    more = materialise(more, "second_stars")
-    tried = tried.unionByName(more)
-    found = materialise(found.unionByName(verified(docs, more, threshold, width)), "more_links")
-    # what is still apart is compared across components, copies of a group once
-    at = _parts(at.select("sig", "doc_id", "n"), found)
-    left, right = (at.select("sig", F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("part").alias(f"part_{x}")) for x in "ab")
-    across = left.join(right, "sig").where("a < b AND part_a <> part_b").where(_fits("n_a", "n_b", threshold)).select("a", "b").distinct()
-    across = materialise(across.join(tried, ["a", "b"], "left_anti"), "across")
-    return materialise(found.unionByName(verified(docs, across, threshold, width)), "all_links")
+    stars = groups.where(F.col("doc_id") != F.col("centre")).where(_fits("n", "m", threshold))
+    stars = materialise(stars.groupBy(F.col("doc_id").alias("b")).agg(F.min("centre").alias("a")).select("a", "b"), "stars")
+    first = materialise(compared(docs, stars, threshold, width, outside=True), "first")
+    found = first.where("linked").select("a", "b").distinct()
+    component = materialise(connected_components(found), "components")
+    # members of the groups still apart, with their first partner if that is near
+    partner = first.where("outside IS NOT NULL").groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("centre"), F.max("both").alias("both"), F.count("*").alias("k"))
+    partner = materialise(partner.where("k = 1").drop("k"), "partners")
+    at = _apart(groups.select("sig", "doc_id", "n"), component)
+    at = materialise(at.join(sized(partner), "doc_id", "left"), "apart")
+    left, right = _sides(at, ["sig"])
+    low, high = threshold, 100 + threshold  # a link needs high * intersection >= low * sum of sizes
+    hopeless = F.coalesce((F.col("centre_a") == F.col("centre_b")) & (high * F.least("both_a", "both_b") < low * (F.col("n_a") + F.col("n_b"))), F.lit(False))
+    wanted = left.join(right, "sig").where("a < b AND part_a <> part_b").where(_fits("n_a", "n_b", threshold) & ~hopeless).select("a", "b").distinct()
+    # pairs of one partner that share shingles outside it
+    inside = component.select(F.col("node").alias("doc_id"), "component")
+    extra = first.where("outside IS NOT NULL").select(F.col("b").alias("doc_id"), F.col("n_b").alias("n"), "both", F.col("a").alias("centre"), F.explode("outside").alias("x"))
+    extra = extra.join(sized(inside), "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id")).drop("component")
+    left, right = _sides(extra, ["centre", "x"])
+    shared = left.join(right, ["centre", "x"]).where("a < b AND part_a <> part_b").where(_fits("n_a", "n_b", threshold))
+    shared = shared.groupBy("a", "b").agg(F.count_distinct("x").alias("k"), F.least(F.max("both_a"), F.max("both_b")).alias("i"), F.min(F.col("n_a") + F.col("n_b")).alias("s"))
+    more = shared.where(high * (F.col("i") + F.col("k")) >= low * F.col("s")).select("a", "b")
+    across = materialise(wanted.unionByName(more).distinct().join(stars, ["a", "b"], "left_anti"), "across")
+    second = compared(docs, across, threshold, width).where("linked").select("a", "b").distinct()
+    return materialise(found.unionByName(second), "all_links")
 
 
 def jaccard_classes(docs: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH) -> DataFrame:
