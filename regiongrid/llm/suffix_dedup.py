@@ -339,7 +339,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(np.full(1, NEED, np.int8), *[carry[n] for n in _FOUND_NAMES[1:]])
 
 
-CONTEXT = "key long, doc_id long, block long, text int, first long, bytes binary"
+CONTEXT = "key long, doc_id long, block long, text int, first long, at long, bytes binary"
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,22 +349,56 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block, ids, sizes, data = _opened(batch, i)
             begin = np.cumsum(sizes) - sizes
             w = batch.column("wanted")[i].values
-            key, text, first, last = (w.field(n).to_numpy() for n in ("key", "text", "first", "last"))
+            key, text, pos, first, last = (w.field(n).to_numpy() for n in ("key", "text", "pos", "first", "last"))
             b = begin[text]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(key), pa.array(ids[text]), pa.array(np.full(len(key), block)), pa.array(text), pa.array(first),
+                    pa.array(key), pa.array(ids[text]), pa.array(np.full(len(key), block)), pa.array(text), pa.array(first), pa.array(pos - first),
                     pa.array([data[x:y] for x, y in zip((b + first).tolist(), (b + last).tolist(), strict=True)], pa.binary()),
                 ],
-                names=["key", "doc_id", "block", "text", "first", "bytes"],
+                names=["key", "doc_id", "block", "text", "first", "at", "bytes"],
             )
 
 
+SEGMENTS = 8  # runs of start positions whose common bytes are looked up before sorting
+
+
+def shorten(rows: list[tuple], width: int, gram: int) -> list[tuple]:
+    """Contexts cut down to the strings that can have an equal in their group.
+
+    The strings of a context start ``b`` bytes before its anchor, b from 0 to
+    width - gram. All strings of a run of such b have bytes in common; a run whose
+    common bytes no other context of the group has, holds no repeat. Rows are
+    (key, doc_id, block, text, first, at, bytes); the result has no ``at``.
+    """
+    edges = np.linspace(0, width - gram + 1, SEGMENTS + 1).astype(int).tolist()
+    runs = list(zip(edges, edges[1:], strict=False))
+    digest = xxhash.xxh3_64_intdigest
+    seen: dict[tuple, int] = {}
+    cores = []
+    for key, _, _, _, _, at, data in rows:
+        low, high = max(0, at + width - len(data)), min(at, width - gram)  # possible b
+        own = []
+        for i, (a, b) in enumerate(runs):
+            if a <= high and b > low:
+                core = (key, i, digest(data[at - a : at - b + 1 + width]))
+                seen[core] = seen.get(core, 0) + 1
+                own.append((core, max(a, low), min(b - 1, high)))
+        cores.append(own)
+    out = []
+    for (key, doc, block, text, first, at, data), own in zip(rows, cores, strict=True):
+        live = [(a, b) for core, a, b in own if seen[core] > 1]
+        if live:
+            begin, end = at - max(b for _, b in live), at - min(a for a, _ in live) + width
+            out.append((key, doc, block, text, first + begin, data[begin:end]))
+    return out
+
+
 class _Sort:
     """Suffix sorting of whole anchor groups; rows arrive sorted by key and place."""
 
-    def __init__(self, width: int, batch: int):
-        self.width, self.batch = width, batch
+    def __init__(self, width: int, gram: int, batch: int):
+        self.width, self.gram, self.batch = width, gram, batch
 
     def marks(self, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         rows.sort(key=lambda r: r[1:5])
@@ -380,13 +414,18 @@ class _Sort:
                 yield _spans(int(b), text[k].astype(np.int64), start[k], start[k] + self.width)
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
         rows: list[tuple] = []
         for batch in batches:
-            for row in zip(*[batch.column(n).to_pylist() for n in ("key", "doc_id", "block", "text", "first", "bytes")], strict=True):
-                if len(rows) >= self.batch and row[0] != rows[-1][0]:
-                    yield from self.marks(rows)
-                    rows = []
-                rows.append(row)
+            for row in zip(*[batch.column(n).to_pylist() for n in ("key", "doc_id", "block", "text", "first", "at", "bytes")], strict=True):
+                if group and row[0] != group[-1][0]:
+                    rows += shorten(group, self.width, self.gram)
+                    group = []
+                    if len(rows) >= self.batch:
+                        yield from self.marks(rows)
+                        rows = []
+                group.append(row)
+        rows += shorten(group, self.width, self.gram)
         if rows:
             yield from self.marks(rows)
 
@@ -441,11 +480,11 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     wanted = (
         met.where(F.col("kind") == NEED)
         .groupBy("block")
-        .agg(F.collect_list(F.struct("key", "text", "first", "last")).alias("wanted"))  # at most the anchors of a block
+        .agg(F.collect_list(F.struct("key", "text", "pos", "first", "last")).alias("wanted"))  # at most the anchors of a block
     )
     contexts = blocks.join(wanted, "block").mapInArrow(_cut_out, CONTEXT)
     sorted_ = contexts.repartition("key").sortWithinPartitions("key", "doc_id", "block", "text", "first")
-    more = materialise(sorted_.mapInArrow(_Sort(width, BATCH), FOUND), "more")
+    more = materialise(sorted_.mapInArrow(_Sort(width, gram, BATCH), FOUND), "more")
     marks = (
         met.where(F.col("kind") == MARK)
         .unionByName(more)
