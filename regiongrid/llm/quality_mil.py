@@ -34,7 +34,7 @@ FOLDS, HELD_OUT = 5, 0  # rows whose crc32(id) mod FOLDS is HELD_OUT are never t
 CUT = 0.3
 HIDDEN, GATE = 16, 8
 EPOCHS, RATE, SEED = 60, 0.02, 7
-BYTES = 8_000_000  # text handled at once in a Python worker
+BYTES = 1_000_000  # text handled at once in a Python worker, unless one text is longer
 
 CLASSES = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\r\x0b\x0c", b"\n", b".,;:", b"!", b"?", b"'\"()-", b"#*$%&", b"|<>", b"=_/\\+@~^`[]{}"]
 
@@ -170,12 +170,24 @@ def fit(bags: list[np.ndarray], labels: np.ndarray) -> Model:
     return m
 
 
+def _runs(column: pa.Array) -> Iterator[tuple[slice, list[bytes]]]:
+    """Runs of rows of up to ``BYTES`` of text, or one row."""
+    texts, size, start = [], 0, 0
+    for i, t in enumerate(column):
+        texts.append((t.as_py() or "").encode("utf-8", "replace"))
+        size += len(texts[-1])
+        if size >= BYTES or i + 1 == len(column):
+            yield slice(start, i + 1), texts
+            texts, size, start = [], 0, i + 1
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [(t.as_py() or "").encode("utf-8", "replace") for t in batch.column("text")]
-        f, number = encode(texts)
-        cut = np.split(f, np.cumsum(number)[:-1]) if len(number) else []
-        blobs = [x[np.linspace(0, len(x) - 1, min(len(x), MAX_PASSAGES)).astype(int)].tobytes() for x in cut]
+        blobs = []
+        for _, texts in _runs(batch.column("text")):
+            f, number = encode(texts)
+            for x in np.split(f, np.cumsum(number)[:-1]):
+                blobs.append(x[np.linspace(0, len(x) - 1, min(len(x), MAX_PASSAGES)).astype(int)].tobytes())
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("label"), pa.array(blobs, pa.binary())], names=["doc_id", "label", "features"]
         )
@@ -203,15 +215,7 @@ class _Score:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, size, scores = [], 0, []
-            for t in batch.column("text"):
-                texts.append((t.as_py() or "").encode("utf-8", "replace"))
-                size += len(texts[-1])
-                if size >= BYTES:
-                    scores.append(self.model.scores(texts))
-                    texts, size = [], 0
-            if texts:
-                scores.append(self.model.scores(texts))
+            scores = [self.model.scores(texts) for _, texts in _runs(batch.column("text"))]
             rest = [batch.column(n) for n in batch.schema.names]
             yield pa.RecordBatch.from_arrays(
                 [*rest, pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=[*batch.schema.names, "_score"]
