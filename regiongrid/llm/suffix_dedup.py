@@ -16,10 +16,15 @@ in a document of smaller doc_id or further up in the same one.
    batch of whole anchor groups the suffixes are sorted in two stages (suffixes
    smaller than their successors directly, the others induced by bucket scans),
    and runs of adjacent common prefixes of ``width`` bytes are the repeats.
-5. The marked spans meet their blocks again, and the rest of each text is kept.
+5. An anchor with more than ``HOT`` different contexts (the edge of a passage that
+   very many documents share) would make one group too large for a task. Its
+   contexts are not gathered: the bytes that neighbouring strings have in common
+   are counted with partial sums, and strings whose common bytes occur once
+   repeat nothing. The others meet by their own hash, once a block.
+6. The marked spans meet their blocks again, and the rest of each text is kept.
 
 No stage needs more than its own rows; blocks, anchors and contexts scale with
-the input. The different contexts of one anchor are held by one task.
+the input, and no task holds more than ``HOT`` contexts of an anchor.
 
 Defined results: null text is empty; rows that share a doc_id are ordered as
 they lie in the input; null ids come first; an empty table gives an empty table;
@@ -38,12 +43,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, sized
 
 WIDTH = 100
 GRAM = 24
 BLOCK_BYTES = 2_000_000  # of text in a block, unless one text is longer
 BATCH = 6_000  # contexts whose suffixes are sorted together, unless one anchor has more
+HOT = 20_000  # contexts of one anchor that one task may hold
 NULL_ID = -(2**63)
 BLOCK_SCHEMA = "block long, ids array<long>, sizes array<long>, data binary"
 
@@ -276,6 +282,21 @@ def _spans(block: int, text: np.ndarray, first: np.ndarray, last: np.ndarray) ->
     return _rows(np.full(n, MARK, np.int8), key, zero, zero, np.full(n, block), text[at].astype(np.int32), zero, first[at], high[stop])
 
 
+def _once(block, ids, begin, text, key, context, at, low, high) -> Iterator[pa.RecordBatch]:
+    """ANCHOR rows of the first of equal (key, context) in a block, marks of the others."""
+    o = np.lexsort((at, context, key))
+    again = np.zeros(len(at), bool)
+    again[o[1:]] = (key[o][1:] == key[o][:-1]) & (context[o][1:] == context[o][:-1])
+    b = begin[text]
+    if again.any():
+        yield _spans(block, text[again], (low - b)[again], (high - b)[again])
+    k = ~again
+    yield _rows(
+        np.full(k.sum(), ANCHOR, np.int8), key[k].view(np.int64), context[k].view(np.int64), ids[text[k]],
+        np.full(k.sum(), block), text[k].astype(np.int32), (at - b)[k], (low - b)[k], (high - b)[k],
+    )
+
+
 class _Find:
     """Anchors of each block, once for each context; repeats within the block as marks."""
 
@@ -294,17 +315,7 @@ class _Find:
                 view, digest = memoryview(data), xxhash.xxh3_64_intdigest
                 context = np.fromiter((digest(view[a:b], b - a) for a, b in zip(low.tolist(), high.tolist(), strict=True)), np.uint64, len(at))
                 context ^= (at - low).astype(np.uint64)
-                o = np.lexsort((at, context, key))
-                again = np.zeros(len(at), bool)
-                again[o[1:]] = (key[o][1:] == key[o][:-1]) & (context[o][1:] == context[o][:-1])
-                b = begin[text]
-                if again.any():
-                    yield _spans(block, text[again], (low - b)[again], (high - b)[again])
-                k = ~again
-                yield _rows(
-                    np.full(k.sum(), ANCHOR, np.int8), key[k].view(np.int64), context[k].view(np.int64), ids[text[k]],
-                    np.full(k.sum(), block), text[k].astype(np.int32), (at - b)[k], (low - b)[k], (high - b)[k],
-                )
+                yield from _once(block, ids, begin, text, key, context, at, low, high)
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,27 +374,38 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 SEGMENTS = 8  # runs of start positions whose common bytes are looked up before sorting
 
 
-def shorten(rows: list[tuple], width: int, gram: int) -> list[tuple]:
-    """Contexts cut down to the strings that can have an equal in their group.
+def _runs(width: int, gram: int) -> list[tuple[int, int]]:
+    edges = np.linspace(0, width - gram + 1, SEGMENTS + 1).astype(int).tolist()
+    return list(zip(edges, edges[1:], strict=False))
+
+
+def _cores(at: int, size: int, width: int, gram: int, runs: list[tuple[int, int]]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(run, first, last + 1 byte of its common bytes, least and greatest b) of a context of ``size`` bytes.
 
     The strings of a context start ``b`` bytes before its anchor, b from 0 to
     width - gram. All strings of a run of such b have bytes in common; a run whose
-    common bytes no other context of the group has, holds no repeat. Rows are
-    (key, doc_id, block, text, first, at, bytes); the result has no ``at``.
+    common bytes no other context of the anchor has, holds no repeat.
     """
-    edges = np.linspace(0, width - gram + 1, SEGMENTS + 1).astype(int).tolist()
-    runs = list(zip(edges, edges[1:], strict=False))
-    digest = xxhash.xxh3_64_intdigest
+    low, high = max(0, at + width - size), min(at, width - gram)  # possible b
+    for i, (a, b) in enumerate(runs):
+        if a <= high and b > low:
+            yield i, at - a, at - b + 1 + width, max(a, low), min(b - 1, high)
+
+
+def shorten(rows: list[tuple], width: int, gram: int) -> list[tuple]:
+    """Contexts cut down to the strings that can have an equal in their group.
+
+    Rows are (key, doc_id, block, text, first, at, bytes); the result has no ``at``.
+    """
+    runs, digest = _runs(width, gram), xxhash.xxh3_64_intdigest
     seen: dict[tuple, int] = {}
     cores = []
     for key, _, _, _, _, at, data in rows:
-        low, high = max(0, at + width - len(data)), min(at, width - gram)  # possible b
         own = []
-        for i, (a, b) in enumerate(runs):
-            if a <= high and b > low:
-                core = (key, i, digest(data[at - a : at - b + 1 + width]))
-                seen[core] = seen.get(core, 0) + 1
-                own.append((core, max(a, low), min(b - 1, high)))
+        for i, x, y, low, high in _cores(at, len(data), width, gram, runs):
+            core = (key, i, digest(data[x:y]))
+            seen[core] = seen.get(core, 0) + 1
+            own.append((core, low, high))
         cores.append(own)
     out = []
     for (key, doc, block, text, first, at, data), own in zip(rows, cores, strict=True):
@@ -394,6 +416,60 @@ def shorten(rows: list[tuple], width: int, gram: int) -> list[tuple]:
     return out
 
 
+CORE = "core long, block long, text int, first long, last long"
+
+
+class _HotCores:
+    """For the contexts that a block's ``wanted`` list names: a row for each run of strings, by its common bytes."""
+
+    def __init__(self, width: int, gram: int):
+        self.width, self.gram = width, gram
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs, digest = _runs(self.width, self.gram), xxhash.xxh3_64_intdigest
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block, _, sizes, data = _opened(batch, i)
+                view, begin = memoryview(data), np.cumsum(sizes) - sizes
+                w = batch.column("wanted")[i].values
+                out: list[list[int]] = [[], [], [], []]
+                for key, text, pos, first, last in zip(*(w.field(n).to_pylist() for n in ("key", "text", "pos", "first", "last")), strict=True):
+                    base = int(begin[text]) + first
+                    for run, x, y, low, high in _cores(pos - first, last - first, self.width, self.gram, runs):
+                        core = digest(view[base + x : base + y], (key + run) & (2**64 - 1))
+                        for column, value in zip(out, (core, text, pos - high, pos - low + self.width), strict=True):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.array(out[0], np.uint64).view(np.int64)), pa.array(np.full(len(out[0]), block)),
+                        pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()),
+                    ],
+                    names=["core", "block", "text", "first", "last"],
+                )
+
+
+class _HotStrings:
+    """The strings of the regions that a block's ``wanted`` list names, as anchors of their own."""
+
+    def __init__(self, width: int):
+        self.width = width
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block, ids, sizes, data = _opened(batch, i)
+                view, begin = memoryview(data), np.cumsum(sizes) - sizes
+                w = batch.column("wanted")[i].values
+                text, first, last = (w.field(n).to_numpy() for n in ("text", "first", "last"))
+                many = last - first - self.width + 1
+                inner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                at = np.unique(np.repeat(begin[text] + first, many) + inner)  # regions overlap
+                digests = b"".join(xxhash.xxh3_128_digest(view[a : a + self.width]) for a in at.tolist())
+                h = np.frombuffer(digests, np.uint64).reshape(-1, 2)
+                owner = np.searchsorted(np.cumsum(sizes), at, side="right")
+                yield from _once(block, ids, begin, owner, h[:, 0].copy(), h[:, 1].copy(), at, at, at + self.width)
+
+
 class _Sort:
     """Suffix sorting of whole anchor groups; rows arrive sorted by key and place."""
 
@@ -471,32 +547,45 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+def _met(found: DataFrame, name: str) -> DataFrame:
+    order = ("key", "context", "doc_id", "block", "text", "pos")
+    return materialise(found.repartition("key").sortWithinPartitions(*order).mapInArrow(_meet, FOUND), name)
+
+
+def _by_block(rows: DataFrame, name: str, *columns: str) -> DataFrame:
+    """The rows of each block as a list; at most some for each anchor of the block."""
+    return rows.groupBy("block").agg(F.collect_list(F.struct(*columns)).alias(name))
+
+
+def _hot_marks(blocks: DataFrame, need: DataFrame, width: int, gram: int) -> DataFrame:
+    """Marks of the repeats among contexts whose anchors have too many for one task."""
+    wanted = _by_block(need, "wanted", "key", "text", "pos", "first", "last")
+    cores = materialise(blocks.join(wanted, "block").mapInArrow(_HotCores(width, gram), CORE), "hot_cores")
+    live = materialise(cores.groupBy("core").count().where("count > 1").select("core"), "hot_live")
+    wanted = _by_block(cores.join(sized(live), "core"), "wanted", "text", "first", "last")
+    return _met(blocks.join(wanted, "block").mapInArrow(_HotStrings(width), FOUND), "hot_met").where(F.col("kind") == MARK)
+
+
+def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, kept (the remaining bytes) and spans (the removed runs) of every document."""
     blocks = materialise(docs.select("doc_id", "text").mapInArrow(_Blocks(BLOCK_BYTES), BLOCK_SCHEMA), "blocks")
-    found = blocks.mapInArrow(_Find(width, gram), FOUND)
-    met = found.repartition("key").sortWithinPartitions("key", "context", "doc_id", "block", "text", "pos").mapInArrow(_meet, FOUND)
-    met = materialise(met, "met")
-    wanted = (
-        met.where(F.col("kind") == NEED)
-        .groupBy("block")
-        .agg(F.collect_list(F.struct("key", "text", "pos", "first", "last")).alias("wanted"))  # at most the anchors of a block
-    )
-    contexts = blocks.join(wanted, "block").mapInArrow(_cut_out, CONTEXT)
+    met = _met(blocks.mapInArrow(_Find(width, gram), FOUND), "met")
+    need = met.where(F.col("kind") == NEED)
+    many = materialise(need.groupBy("key").count().where(F.col("count") > hot).select("key"), "hot_keys")
+    cold = need.join(sized(many), "key", "left_anti")
+    contexts = blocks.join(_by_block(cold, "wanted", "key", "text", "pos", "first", "last"), "block").mapInArrow(_cut_out, CONTEXT)
     sorted_ = contexts.repartition("key").sortWithinPartitions("key", "doc_id", "block", "text", "first")
     more = materialise(sorted_.mapInArrow(_Sort(width, gram, BATCH), FOUND), "more")
-    marks = (
-        met.where(F.col("kind") == MARK)
-        .unionByName(more)
-        .groupBy("block")
-        .agg(F.collect_list(F.struct("text", "first", "last")).alias("marks"))  # likewise
-    )
+    spans = met.where(F.col("kind") == MARK).unionByName(more)
+    if not many.isEmpty():
+        spans = spans.unionByName(_hot_marks(blocks, need.join(sized(many), "key"), width, gram))
+    marks = _by_block(spans, "marks", "text", "first", "last")
     return blocks.join(marks, "block", "left").mapInArrow(_strip, KEPT)
 
 
-def repeat_digests(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def repeat_digests(docs: DataFrame, width: int = WIDTH, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
-    return remove_repeats(docs, width).select(
+    return remove_repeats(docs, width, hot=hot).select(
         "doc_id",
         "n_bytes",
         (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),

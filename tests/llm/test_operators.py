@@ -65,7 +65,8 @@ def test_suffix_array():
         assert suffix_dedup.suffix_array(np.frombuffer(t, np.uint8), 64).tolist() == sorted(range(len(t)), key=lambda i: t[i:])
 
 
-def test_repeats(docs, none):
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 2, 0])  # 0: no anchor's contexts are gathered
+def test_repeats(docs, none, hot):
     seen, want = set(), collections.defaultdict(list)
     for i, t in sorted([*ROWS, ROWS[2]], key=lambda x: x[0]):
         b = (t or "").encode()
@@ -78,7 +79,7 @@ def test_repeats(docs, none):
         runs = int(np.sum(np.diff(gone.astype(int), prepend=0) == 1))
         want[i].append((len(b), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()))
     got = collections.defaultdict(list)
-    for r in suffix_dedup.repeat_digests(docs).collect():
+    for r in suffix_dedup.repeat_digests(docs, hot=hot).collect():
         got[r["doc_id"]].append((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]))
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
     assert suffix_dedup.repeat_digests(none).isEmpty()
