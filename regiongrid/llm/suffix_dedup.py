@@ -18,9 +18,11 @@ in a document of smaller doc_id or further up in the same one.
    and runs of adjacent common prefixes of ``width`` bytes are the repeats.
 5. An anchor with more than ``HOT`` different contexts (the edge of a passage that
    very many documents share) would make one group too large for a task. Its
-   contexts are not gathered: the bytes that neighbouring strings have in common
-   are counted with partial sums, and strings whose common bytes occur once
-   repeat nothing. The others meet by their own hash, once a block.
+   contexts are not gathered: they are cut into runs of neighbouring strings, and
+   the bytes that a run's strings have in common are counted with partial sums.
+   Runs whose bytes occur once repeat nothing; those whose bytes occur up to
+   ``HOT`` times form groups of their own in stage 4; the strings of the others
+   meet by their hash, once a block.
 6. The marked spans meet their blocks again, and the rest of each text is kept.
 
 No stage needs more than its own rows; blocks, anchors and contexts scale with
@@ -416,7 +418,7 @@ def shorten(rows: list[tuple], width: int, gram: int) -> list[tuple]:
     return out
 
 
-CORE = "core long, block long, text int, first long, last long"
+CORE = "key long, block long, text int, pos long, first long, last long"
 
 
 class _HotCores:
@@ -432,19 +434,19 @@ class _HotCores:
                 block, _, sizes, data = _opened(batch, i)
                 view, begin = memoryview(data), np.cumsum(sizes) - sizes
                 w = batch.column("wanted")[i].values
-                out: list[list[int]] = [[], [], [], []]
+                out: list[list[int]] = [[], [], [], [], []]
                 for key, text, pos, first, last in zip(*(w.field(n).to_pylist() for n in ("key", "text", "pos", "first", "last")), strict=True):
                     base = int(begin[text]) + first
                     for run, x, y, low, high in _cores(pos - first, last - first, self.width, self.gram, runs):
                         core = digest(view[base + x : base + y], (key + run) & (2**64 - 1))
-                        for column, value in zip(out, (core, text, pos - high, pos - low + self.width), strict=True):
+                        for column, value in zip(out, (core, text, pos, pos - high, pos - low + self.width), strict=True):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.array(out[0], np.uint64).view(np.int64)), pa.array(np.full(len(out[0]), block)),
-                        pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()),
+                        pa.array(out[1], pa.int32()), *[pa.array(c, pa.int64()) for c in out[2:]],
                     ],
-                    names=["core", "block", "text", "first", "last"],
+                    names=["key", "block", "text", "pos", "first", "last"],
                 )
 
 
@@ -557,28 +559,33 @@ def _by_block(rows: DataFrame, name: str, *columns: str) -> DataFrame:
     return rows.groupBy("block").agg(F.collect_list(F.struct(*columns)).alias(name))
 
 
-def _hot_marks(blocks: DataFrame, need: DataFrame, width: int, gram: int) -> DataFrame:
-    """Marks of the repeats among contexts whose anchors have too many for one task."""
-    wanted = _by_block(need, "wanted", "key", "text", "pos", "first", "last")
-    cores = materialise(blocks.join(wanted, "block").mapInArrow(_HotCores(width, gram), CORE), "hot_cores")
-    live = materialise(cores.groupBy("core").count().where("count > 1").select("core"), "hot_live")
-    wanted = _by_block(cores.join(sized(live), "core"), "wanted", "text", "first", "last")
-    return _met(blocks.join(wanted, "block").mapInArrow(_HotStrings(width), FOUND), "hot_met").where(F.col("kind") == MARK)
+PLACE = ("key", "text", "pos", "first", "last")
+
+
+def _over(rows: DataFrame, hot: int, name: str) -> tuple[DataFrame, DataFrame, bool]:
+    """``rows`` whose key occurs at most ``hot`` times, the others, and whether there are others."""
+    many = materialise(rows.groupBy("key").count().where(F.col("count") > hot).select("key"), name)
+    return rows.join(sized(many), "key", "left_anti"), rows.join(sized(many), "key"), not many.isEmpty()
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, kept (the remaining bytes) and spans (the removed runs) of every document."""
     blocks = materialise(docs.select("doc_id", "text").mapInArrow(_Blocks(BLOCK_BYTES), BLOCK_SCHEMA), "blocks")
     met = _met(blocks.mapInArrow(_Find(width, gram), FOUND), "met")
-    need = met.where(F.col("kind") == NEED)
-    many = materialise(need.groupBy("key").count().where(F.col("count") > hot).select("key"), "hot_keys")
-    cold = need.join(sized(many), "key", "left_anti")
-    contexts = blocks.join(_by_block(cold, "wanted", "key", "text", "pos", "first", "last"), "block").mapInArrow(_cut_out, CONTEXT)
+    spans = met.where(F.col("kind") == MARK)
+    need, large, any_large = _over(met.where(F.col("kind") == NEED).select("block", *PLACE), hot, "hot_keys")
+    if any_large:
+        cores = materialise(blocks.join(_by_block(large, "wanted", *PLACE), "block").mapInArrow(_HotCores(width, gram), CORE), "hot_cores")
+        _, cores, _ = _over(cores, 1, "hot_live")
+        few, large, any_large = _over(materialise(cores, "hot_runs"), hot, "hot_runs_keys")
+        need = need.unionByName(few)
+        if any_large:
+            strings = blocks.join(_by_block(large, "wanted", *PLACE), "block").mapInArrow(_HotStrings(width), FOUND)
+            spans = spans.unionByName(_met(strings, "hot_met").where(F.col("kind") == MARK))
+    contexts = blocks.join(_by_block(need, "wanted", *PLACE), "block").mapInArrow(_cut_out, CONTEXT)
     sorted_ = contexts.repartition("key").sortWithinPartitions("key", "doc_id", "block", "text", "first")
     more = materialise(sorted_.mapInArrow(_Sort(width, gram, BATCH), FOUND), "more")
-    spans = met.where(F.col("kind") == MARK).unionByName(more)
-    if not many.isEmpty():
-        spans = spans.unionByName(_hot_marks(blocks, need.join(sized(many), "key"), width, gram))
+    spans = spans.unionByName(more)
     marks = _by_block(spans, "marks", "text", "first", "last")
     return blocks.join(marks, "block", "left").mapInArrow(_strip, KEPT)
 
