@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized
+from .common import map_arrow, sized
 
 ROLES = ("system", "user", "assistant", "tool")
 SEGMENT = 256  # turns of one conversation in a task's hands at once
@@ -216,6 +216,6 @@ def format_chats(conversations: DataFrame, model: Hmm | None = None) -> DataFram
     t = distinct_turns(conversations).withColumn("segment", F.coalesce(F.floor(F.col("turn") / SEGMENT), F.lit(-1)).cast("bigint"))
     t = t.withColumn("style", F.pmod(F.xxhash64("conv_id"), F.lit(24)))
     t = t.repartition("conv_id", "segment").sortWithinPartitions("conv_id", "segment", "turn", "role", "text")
-    return t.select("conv_id", "segment", "style", "role", "text").mapInArrow(
+    return map_arrow(t.select("conv_id", "segment", "style", "role", "text"),
         _Parse(model), "conv_id long, segment long, n_turns long, n_right long, roles string, text string"
     )

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 #: Rows up to which a key table may be broadcast: two longs a row, so at most
 #: some 50 MB. Larger tables take the shuffled join.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of rows that a Python worker is sent at once, unless one row is longer.
+ARROW_BYTES, _ARROW_KEY = "4m", "spark.sql.execution.arrow.maxBytesPerBatch"
 WHITE = r"[\x20\x09-\x0D]+"
 
 _written: list[str] = []
@@ -70,6 +74,17 @@ def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow`` with batches of at most ``ARROW_BYTES``, unless the session sets a bound of its own.
+
+    The bound is a setting of the session and stays.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_ARROW_KEY, None) is None:
+        conf.set(_ARROW_KEY, ARROW_BYTES)
+    return df.mapInArrow(f, schema)
+
+
 def ascii_lower(word: Column) -> Column:
     """Lower-case A-Z only; other letters stay as they are."""
     return F.when(F.octet_length(word) == F.char_length(word), F.lower(word)).otherwise(

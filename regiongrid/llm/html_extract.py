@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import map_arrow
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>", re.S
 )
@@ -338,6 +340,6 @@ class _Extract:
 
 def extract(pages: DataFrame, model: Crf | None = None) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    return pages.select("page_id", "url", "html").mapInArrow(
+    return map_arrow(pages.select("page_id", "url", "html"),
         _Extract(model or default_model()), "page_id long, url string, text string, n_chars long"
     )

@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, mix, shingle_sets, sized
+from .common import map_arrow, materialise, mix, shingle_sets, sized
 
 WIDTH = 5
 THRESHOLD = 75
@@ -239,7 +239,7 @@ def compared(docs: DataFrame, pairs: DataFrame, threshold: int = THRESHOLD, widt
     member = small.join(sized(pairs.select(F.col("b").alias("doc_id"), "a")), "doc_id").select("a", F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     centre = small.join(sized(materialise(pairs.select(F.col("a").alias("doc_id")).distinct(), "centres")), "doc_id")
     both = member.join(centre.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    return both.select("a", "b", "ta", "tb").mapInArrow(_Compare(threshold, width, outside), COMPARED)
+    return map_arrow(both.select("a", "b", "ta", "tb"), _Compare(threshold, width, outside), COMPARED)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -275,9 +275,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def survey(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, n_shingles, k1, k2) of every row, and the counting sketch of all shingles."""
     schema = "doc_id long, n_shingles long, k1 long, k2 long, block int, counts array<long>"
-    seen = materialise(docs.select("doc_id", "text").mapInArrow(_Survey(width), schema), "survey")
+    seen = materialise(map_arrow(docs.select("doc_id", "text"), _Survey(width), schema), "survey")
     blocks = seen.where("block IS NOT NULL").select("block", "counts")
-    summed = blocks.repartition(CELLS // BLOCK // 4, "block").mapInArrow(_added, "block int, counts array<long>")
+    summed = map_arrow(blocks.repartition(CELLS // BLOCK // 4, "block"), _added, "block int, counts array<long>")
     heat = np.zeros(CELLS, dtype=np.int64)
     for row in summed.collect():  # CELLS numbers in all
         heat[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] += row["counts"]
@@ -326,7 +326,7 @@ def links(docs: DataFrame, folded: DataFrame, heat: np.ndarray, threshold: int =
     """
     rest = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     rest = rest.join(sized(folded), "doc_id", "left_anti")
-    rows = rest.mapInArrow(_Enumerate(heat, threshold, width), "sig long, doc_id long, n int")
+    rows = map_arrow(rest, _Enumerate(heat, threshold, width), "sig long, doc_id long, n int")
     by_sig = W.partitionBy("sig")
     groups = (
         rows.withColumn("centre", F.min(F.struct("doc_id", F.col("n").alias("m"))).over(by_sig))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, sized
+from .common import map_arrow, materialise, sized
 
 CAPACITY = 1024
 END = 2
@@ -104,7 +104,7 @@ class _Cut:
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, tokenizer: str = TOKENIZER) -> DataFrame:
     """doc_id, piece, start, length, ids (little-endian unsigned 32-bit) of every piece."""
-    return docs.select("doc_id", "text").mapInArrow(
+    return map_arrow(docs.select("doc_id", "text"),
         _Cut(capacity, end, tokenizer), "doc_id long, piece int, start long, length long, ids binary"
     )
 
@@ -261,7 +261,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> DataFr
     ranked = salted.withColumn("_rank", rank.cast("long")).join(sized(materialise(firsts, "firsts")), ["length", "_salt"])
     ranked = ranked.select(*cut.columns, (F.col("_rank") + F.col("_first")).alias("_rank"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema)
-    return ranked.mapInArrow(_Place(plan(histogram, capacity)), f"{fields}, sequence_id long, offset long")
+    return map_arrow(ranked, _Place(plan(histogram, capacity)), f"{fields}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, end: int = END, tokenizer: str = TOKENIZER) -> DataFrame:

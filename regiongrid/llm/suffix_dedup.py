@@ -45,12 +45,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, sized
+from .common import map_arrow, materialise, sized
 
 WIDTH = 100
 GRAM = 24
 BLOCK_BYTES = 2_000_000  # of text in a block, unless one text is longer
-BATCH = 6_000  # contexts whose suffixes are sorted together, unless one anchor has more
+BATCH = 3_000  # contexts whose suffixes are sorted together, unless one anchor has more
 HOT = 20_000  # contexts of one anchor that one task may hold
 NULL_ID = -(2**63)
 BLOCK_SCHEMA = "block long, ids array<long>, sizes array<long>, data binary"
@@ -551,7 +551,7 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _met(found: DataFrame, name: str) -> DataFrame:
     order = ("key", "context", "doc_id", "block", "text", "pos")
-    return materialise(found.repartition("key").sortWithinPartitions(*order).mapInArrow(_meet, FOUND), name)
+    return materialise(map_arrow(found.repartition("key").sortWithinPartitions(*order), _meet, FOUND), name)
 
 
 def _by_block(rows: DataFrame, name: str, *columns: str) -> DataFrame:
@@ -570,24 +570,24 @@ def _over(rows: DataFrame, hot: int, name: str) -> tuple[DataFrame, DataFrame, b
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, kept (the remaining bytes) and spans (the removed runs) of every document."""
-    blocks = materialise(docs.select("doc_id", "text").mapInArrow(_Blocks(BLOCK_BYTES), BLOCK_SCHEMA), "blocks")
-    met = _met(blocks.mapInArrow(_Find(width, gram), FOUND), "met")
+    blocks = materialise(map_arrow(docs.select("doc_id", "text"), _Blocks(BLOCK_BYTES), BLOCK_SCHEMA), "blocks")
+    met = _met(map_arrow(blocks, _Find(width, gram), FOUND), "met")
     spans = met.where(F.col("kind") == MARK)
     need, large, any_large = _over(met.where(F.col("kind") == NEED).select("block", *PLACE), hot, "hot_keys")
     if any_large:
-        cores = materialise(blocks.join(_by_block(large, "wanted", *PLACE), "block").mapInArrow(_HotCores(width, gram), CORE), "hot_cores")
+        cores = materialise(map_arrow(blocks.join(_by_block(large, "wanted", *PLACE), "block"), _HotCores(width, gram), CORE), "hot_cores")
         _, cores, _ = _over(cores, 1, "hot_live")
         few, large, any_large = _over(materialise(cores, "hot_runs"), hot, "hot_runs_keys")
         need = need.unionByName(few)
         if any_large:
-            strings = blocks.join(_by_block(large, "wanted", *PLACE), "block").mapInArrow(_HotStrings(width), FOUND)
+            strings = map_arrow(blocks.join(_by_block(large, "wanted", *PLACE), "block"), _HotStrings(width), FOUND)
             spans = spans.unionByName(_met(strings, "hot_met").where(F.col("kind") == MARK))
-    contexts = blocks.join(_by_block(need, "wanted", *PLACE), "block").mapInArrow(_cut_out, CONTEXT)
+    contexts = map_arrow(blocks.join(_by_block(need, "wanted", *PLACE), "block"), _cut_out, CONTEXT)
     sorted_ = contexts.repartition("key").sortWithinPartitions("key", "doc_id", "block", "text", "first")
-    more = materialise(sorted_.mapInArrow(_Sort(width, gram, BATCH), FOUND), "more")
+    more = materialise(map_arrow(sorted_, _Sort(width, gram, BATCH), FOUND), "more")
     spans = spans.unionByName(more)
     marks = _by_block(spans, "marks", "text", "first", "last")
-    return blocks.join(marks, "block", "left").mapInArrow(_strip, KEPT)
+    return map_arrow(blocks.join(marks, "block", "left"), _strip, KEPT)
 
 
 def repeat_digests(docs: DataFrame, width: int = WIDTH, hot: int = HOT) -> DataFrame:
