@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, sized
+from .common import map_arrow, materialise, sized
 
 PASSAGE = 512  # bytes
 MAX_TRAIN = 4000  # labelled documents
@@ -203,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
         .limit(most)
     )
     picked = docs.select("doc_id", "text").join(sized(materialise(known, "train"), most), "doc_id").select("doc_id", "label", "text")
-    rows = picked.mapInArrow(_features, "doc_id long, label int, features binary").collect()
+    rows = map_arrow(picked, _features, "doc_id long, label int, features binary").collect()
     rows = sorted(rows, key=lambda r: (r["doc_id"], r["label"], r["features"]))
     bags = [np.frombuffer(r["features"], np.float32).reshape(-1, N_FEATURES) for r in rows]
     return fit(bags, np.array([r["label"] for r in rows], dtype=float))
@@ -215,17 +215,15 @@ class _Score:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [self.model.scores(texts) for _, texts in _runs(batch.column("text"))]
-            rest = [batch.column(n) for n in batch.schema.names]
-            yield pa.RecordBatch.from_arrays(
-                [*rest, pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=[*batch.schema.names, "_score"]
-            )
+            for rows, texts in _runs(batch.column("text")):
+                own = batch.slice(rows.start, rows.stop - rows.start)
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(self.model.scores(texts), pa.float64())], names=[*own.schema.names, "_score"])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with a column ``_score``."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_Score(model), f"{fields}, _score double")
+    return map_arrow(docs, _Score(model), f"{fields}, _score double")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
