@@ -116,7 +116,7 @@ def signatures(
     return np.concatenate(out_sig), np.concatenate(out_doc)
 
 
-def _texts(batch: pa.RecordBatch, name: str = "text", most: int = 3_000_000) -> Iterator[tuple[slice, list[bytes]]]:
+def _texts(batch: pa.RecordBatch, name: str = "text", most: int = 500_000) -> Iterator[tuple[slice, list[bytes]]]:
     """Runs of rows of up to ``most`` bytes of text, or one row."""
     texts, size, start = [], 0, 0
     for i, t in enumerate(batch.column(name)):
