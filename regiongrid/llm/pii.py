@@ -196,9 +196,7 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
 def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text", counted: str | None = None) -> DataFrame:
     """``docs`` with the text column rewritten, and ``counted`` (if named) the number of replaced values."""
     t = F.col(text)
-    work = docs.withColumn(
-        "_rg_found", F.when(t.rlike("[0-9@]"), F.regexp_extract_all(t, F.lit(ANY), F.lit(0)))
-    )
+    work = docs.withColumn("_rg_found", F.regexp_extract_all(t, F.lit(ANY), F.lit(0)))
     fresh = F.when(F.size("_rg_found") > 0, F.transform("_rg_found", lambda m: F.struct(m.alias("m"), pseudonym(m, key).alias("p"))))
     work = work.withColumn("_rg_fresh", fresh)
     parts = F.zip_with(
