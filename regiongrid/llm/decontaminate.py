@@ -6,12 +6,14 @@ longer than an item, so Jaccard banding is useless; the search goes by
 containment instead. Items are partitioned by size (their number of shingles q).
 The sketch of an item is its bottom-s MinHash values, s = q - ceil(threshold% of
 q) + 1 in its size partition: a document that lacks at most q - ceil(...) of the
-shingles must hold one of any s of them, so no contained item is missed. A pair
-whose sketch is hit is verified by the exact count of common shingles.
+shingles must hold one of any s of them, so no contained item is missed. The
+documents are probed with the sketches only; a pair whose sketch is hit is a
+candidate and is verified by the exact count of common shingles.
 
-The index has s + q rows an item and is broadcast only when its row count is
-under ``common.BROADCAST_ROWS``; above that Spark shuffles both sides by the
-shingle. The documents are scanned once.
+The index has q rows an item, s of them in the sketch; each is broadcast only when
+its row count is under ``common.BROADCAST_ROWS``; above that Spark shuffles both
+sides by the shingle. The documents are scanned once for candidates, and those with
+candidates once more.
 
 Defined results: null and empty texts hold nothing; items without words are
 found nowhere; items of fewer than ``width`` words are one shingle of all their
@@ -55,27 +57,35 @@ def item_index(items: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH)
     ).dropDuplicates(["item_id", "shingle"])
 
 
-def contained_items(
-    docs: DataFrame, items: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH
-) -> DataFrame:
-    """Verified pairs: doc_id, item_id, n_common, q."""
-    index = materialise(item_index(items, threshold, width), "items")
+def _probes(docs: DataFrame, index: DataFrame, width: int) -> DataFrame:
+    """doc_id and every shingle of its text that could be of an item."""
     short = [r[0] for r in index.where(F.col("n_words") < width).select("n_words").distinct().collect()]  # at most width - 1 values
     d = docs.select("doc_id", lower_words(F.col("text")).alias("words")).where("doc_id IS NOT NULL")
     found = shingle_hashes(F.col("words"), width)
     if short:
         found = F.array_distinct(F.concat(found, *[_runs(F.col("words"), n) for n in short]))
-    probes = d.select("doc_id", F.explode(found).alias("shingle"))
-    hits = probes.join(sized(index), "shingle")
+    return d.select("doc_id", F.explode(found).alias("shingle"))
+
+
+def candidates(docs: DataFrame, index: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Pairs (doc_id, item_id) in which the document holds a shingle of the item's sketch."""
+    sketch = index.where("in_sketch").select("shingle", "item_id")
+    return _probes(docs, index, width).join(sized(sketch), "shingle").select("doc_id", "item_id").distinct()
+
+
+def contained_items(
+    docs: DataFrame, items: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH
+) -> DataFrame:
+    """Verified pairs: doc_id, item_id, n_common, q."""
+    index = materialise(item_index(items, threshold, width), "items")
+    pairs = materialise(candidates(docs, index, width), "candidates")
+    some = docs.join(sized(materialise(pairs.select("doc_id").distinct(), "probed")), "doc_id", "left_semi")
+    full = index.select("shingle", "item_id", "q", "needed")
+    hits = _probes(some, index, width).join(sized(full), "shingle").join(sized(pairs), ["doc_id", "item_id"])
     return (
         hits.groupBy("doc_id", "item_id")
-        .agg(
-            F.count_distinct("shingle").alias("n_common"),
-            F.max("in_sketch").alias("candidate"),
-            F.first("q").alias("q"),
-            F.first("needed").alias("needed"),
-        )
-        .where(F.col("candidate") & (F.col("n_common") >= F.col("needed")))
+        .agg(F.count_distinct("shingle").alias("n_common"), F.first("q").alias("q"), F.first("needed").alias("needed"))
+        .where("n_common >= needed")
         .select("doc_id", "item_id", "n_common", "q")
     )
 

@@ -160,6 +160,20 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.decontaminate(docs, items.limit(0)).where("contaminated").isEmpty()
 
 
+def test_decontamination_probes_with_the_sketch(spark):
+    item = " ".join(f"w{i}" for i in range(24))  # 20 shingles, 15 needed, 6 in the sketch
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    index = decontaminate.item_index(items).persist()
+    assert index.where("in_sketch").count() == 6
+    w = item.split()
+    rows = [(i, " ".join(w[i : i + 5])) for i in range(20)] + [(20, " ".join(w[:19])), (21, " ".join(w[:18])), (22, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"] for r in decontaminate.candidates(docs, index).collect()}
+    assert len(found & set(range(20))) == 6 and 20 in found
+    got = {r["doc_id"]: r["n_common"] for r in decontaminate.contained_items(docs, items).collect()}
+    assert got == {20: 15}
+
+
 def test_packing(docs, none):
     from tokenizers import Tokenizer
 
