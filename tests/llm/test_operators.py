@@ -9,6 +9,7 @@ import zlib
 from datetime import date
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -325,6 +326,16 @@ def test_quality_classifier(spark, none):
     assert {x["score"] for x in quality_mil.score_documents(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_training_takes_all_passages():
+    texts = ["one. " * 30_000, "short", None]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "label": pa.array([1, 0, 1], pa.int32()), "text": texts})
+    out = next(quality_mil._features(iter([batch])))
+    for t, blob in zip(texts, out.column("features").to_pylist(), strict=True):
+        f, number = quality_mil.encode([(t or "").encode()])
+        got = np.frombuffer(blob, np.float32).reshape(-1, quality_mil.N_FEATURES)
+        assert len(got) == number[0] == max(1, (len(t or "") + 256) // 512) and np.array_equal(got, f)
+
+
 def test_mil_gradient():
     r = np.random.default_rng(2)
     f, number, y = r.normal(size=(9, quality_mil.N_FEATURES)), np.array([2, 3, 4]), np.array([0.0, 1.0, 1.0])
