@@ -37,7 +37,6 @@ END = 2
 TOKENIZER = "byte_bpe_50k"
 SALTS = 64  # tasks that share the ranking of one length
 ROUNDS = 300  # of the least-squares fit
-TRIPLES = 60_000  # pattern triples enumerated at most; the residual packer takes the rest
 
 _loaded: dict = {}
 
@@ -110,23 +109,19 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, tokenizer:
 
 
 def patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
-    """Rows of two or three present lengths (0: none) that fill a sequence exactly."""
+    """Rows of two or three present lengths (0: none) that fill a sequence exactly: all of them, some capacity^2 / 12."""
     present = np.zeros(capacity + 1, dtype=bool)
     present[lengths] = True
     small = lengths[lengths < capacity]
     pairs = small[present[capacity - small] & (small <= capacity - small)]
     found = [np.stack([capacity - pairs, pairs, 0 * pairs], 1)] if len(pairs) else []
-    count = 0
-    for a in small[::-1]:  # the longest first: they have the fewest partners
+    for a in small[::-1]:
         b = small[(small <= a) & (2 * small >= capacity - a) & (small < capacity - a)]
         c = capacity - a - b
         ok = (c > 0) & (c <= b)
         b, c = b[ok], c[ok]
         ok = present[c]
         b, c = b[ok], c[ok]
-        if count + len(b) > TRIPLES:
-            break
-        count += len(b)
         found.append(np.stack([np.full(len(b), a), b, c], 1))
     return np.concatenate(found) if found else np.empty((0, 3), dtype=np.int64)
 

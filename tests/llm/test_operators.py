@@ -219,6 +219,13 @@ def test_packing_plan():
         assert sum(n for _, n in made) <= np.ceil((h * np.arange(1025)).sum() / 1024) * 1.03 + 1
 
 
+def test_packing_offers_every_pattern():
+    rows = packing.patterns(np.arange(1, 1024), 1024)
+    triples = {tuple(r) for r in rows.tolist() if r[2]}
+    want = {(a, b, 1024 - a - b) for a in range(1, 1023) for b in range(1, a + 1) if 0 < 1024 - a - b <= b}
+    assert triples == want and len(rows) == len(want) + 512
+
+
 def test_pii(spark, none):
     text = "mail bob.x@site.example.org card 4111 1111 1111 1111 or 4952935900253052, not 4111111111111112; ip 10.0.0.1 not 300.1.1.1; tel +1 (017) 555-7713, 415-555-2671; ssn 123-45-6789 not 000-12-3456; born 1980-02-29 not 1981-02-29, 31.12.1999; token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\""
     d = spark.createDataFrame([(1, text, 5), (2, text + " v4.0.1 end", 5), (3, None, 5), (4, "", 5), (5, "plain 12345", 5)], "doc_id long, text string, m int")
