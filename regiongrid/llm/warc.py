@@ -32,7 +32,7 @@ from collections.abc import Iterator
 from urllib.parse import urlparse
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource,
@@ -51,6 +51,7 @@ SCHEMA = "record_id string, record_type string, target_uri string, warc_date str
 FILE_BYTES = 64 << 20  # an archive is closed once it holds more
 PART_BYTES = 128 << 20  # archives read by one task, unless one alone is larger
 CHUNK = 1 << 20
+BATCH_BYTES, ROW_BYTES = 4 << 20, 500  # of records sent to Spark at once, unless one is longer; headers of one
 DATE = "2000-01-01T00:00:00Z"  # records of tables have no crawl date
 
 
@@ -208,6 +209,13 @@ class Archives(InputPartition):
         self.files = files
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    """Records, in the order of ``SCHEMA``, as one Arrow batch."""
+    types = [pa.string()] * 6 + [pa.int64(), pa.binary()]
+    names = [field.split()[0] for field in SCHEMA.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"].rstrip("/")
@@ -271,9 +279,17 @@ class WarcReader(DataSourceReader):
 
     def read(self, partition: Archives):
         fs, root = filesystem(self.path)
+        rows, size = [], 0
         for name in partition.files:
             with fs.open_input_file(f"{root}/{name}") as raw:
-                yield from self.records(Stream(raw, name.endswith(".gz")))
+                for row in self.records(Stream(raw, name.endswith(".gz"))):
+                    rows.append(row)
+                    size += ROW_BYTES + len(row[-1] or b"")
+                    if size >= BATCH_BYTES:
+                        yield _batch(rows)
+                        rows, size = [], 0
+        if rows:
+            yield _batch(rows)
 
 
 class WarcDataSource(DataSource):
@@ -346,14 +362,36 @@ def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataF
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
 
 
+def _base32(hexed: Column) -> Column:
+    """Base 32 of a SHA-1 in hexadecimal digits."""
+    tens = [F.lpad(F.conv(F.substring(hexed, 10 * k + 1, 10), 16, 32), 8, "0") for k in range(4)]
+    return F.translate(F.concat(*tens), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+
+
+def digests(spark: SparkSession, path: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type and refers_to of the records in ``path``.
+
+    Size and digest of a response are those of its payload as read; a revisit
+    has no payload and gives what its headers say.
+    """
+
+    def rows(records: DataFrame, size: Column, digest: Column) -> DataFrame:
+        return records.select(
+            F.col("record_id").cast("bigint").alias("page_id"),
+            size.cast("bigint").alias("payload_bytes"),
+            digest.alias("payload_digest"),
+            "record_type",
+            F.col("refers_to").cast("bigint").alias("refers_to"),
+        )
+
+    full = read_archives(spark, path).where("record_type = 'response'")
+    heads = read_archives(spark, path, payload=False).where("record_type = 'revisit'")
+    return rows(full, F.octet_length("payload"), _base32(F.sha1("payload"))).unionAll(
+        rows(heads, F.col("http_length"), F.col("payload_digest"))
+    )
+
+
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Digest rows of the pages as they are in archives written to the shared folder."""
     spark = pages.sparkSession
-    path = archive_pages(pages, shared_path(spark, "warc"), min_bytes)
-    return read_archives(spark, path, payload=False).select(
-        F.col("record_id").cast("bigint").alias("page_id"),
-        F.col("http_length").alias("payload_bytes"),
-        "payload_digest",
-        "record_type",
-        F.col("refers_to").cast("bigint").alias("refers_to"),
-    )
+    return digests(spark, archive_pages(pages, shared_path(spark, "warc"), min_bytes))

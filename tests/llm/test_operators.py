@@ -299,6 +299,16 @@ def test_warc(spark, none, tmp_path):
     assert warc.round_trip(empty).isEmpty()
 
 
+def test_warc_digests_are_of_the_payloads_read(spark, tmp_path):
+    p = spark.createDataFrame([(1, "u1", "<p>same</p>"), (2, "u2", "<p>same</p>"), (3, "u3", "<p>harmed</p>")], "page_id long, url string, html string")
+    path = warc.archive_pages(p, f"file://{tmp_path}/w", compression="none")
+    for f in (tmp_path / "w").glob("*.warc"):
+        f.write_bytes(f.read_bytes().replace(b"<p>harmed</p>", b"<p>hXrmed</p>"))
+    of = lambda b: base64.b32encode(hashlib.sha1(b).digest()).decode()
+    want = [(1, 11, of(b"<p>same</p>"), "revisit", 2), (2, 11, of(b"<p>same</p>"), "response", None), (3, 13, of(b"<p>hXrmed</p>"), "response", None)]
+    assert sorted(map(tuple, warc.digests(spark, path).collect())) == want
+
+
 def test_html(spark):
     page = """<html><head><title>T</title><script>if (a<b) "</p>"</script></head><body><header>Site</header><nav><ul><li><a href=/a>A</a><li>B</ul></nav>
     <div class="ad">Buy</div><article><h1>Big &amp; small</h1><p>First <b>part<br>of</b> it.<p>Second &eacute;<div class="advert">now!</div><p>Third</article>
