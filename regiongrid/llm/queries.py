@@ -54,7 +54,7 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced by pseudonyms."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymise(docs, counted="n_replaced")
+    return pii.pseudonymise(docs, pii.DEMO_KEY, counted="n_replaced")
 
 
 def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
