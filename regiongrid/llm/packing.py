@@ -7,9 +7,9 @@ patterns of two or three lengths that fill a sequence exactly are enumerated,
 their repeat counts fitted to the histogram by non-negative least squares and
 rounded down, and what is left over is packed best-fit by decreasing length,
 again on counts. The plan is a table of slots by length; each piece finds its
-slot by its rank among the pieces of its length, a rank that is built from
-salted counts, so a length that a third of the pieces share is dealt over many
-tasks.
+slot by its rank among the pieces of its length: its rank within the task that
+wrote it, after the counts of the tasks before. So a length that a third of the
+pieces share is ranked by as many tasks as wrote it.
 
 Token ids are those of the named tokenizer file. They are made with the faster
 library on the same vocabulary; texts that hold a special token's string go to
@@ -17,7 +17,10 @@ the reference library, which treats it specially.
 
 Defined results: null and empty texts are the end token alone; repeated rows are
 packed apiece; null ids stay null; an empty table gives an empty table; other
-columns are ignored.
+columns are ignored. Pieces of equal length take their places in the order of the
+writing task, doc_id, piece, start and ids; which of wholly equal rows comes first
+makes no difference. A very long text is tokenised whole, in some 30 bytes of memory
+a byte, and handed on in pieces.
 """
 
 from __future__ import annotations
@@ -35,7 +38,6 @@ from .common import map_arrow, materialise, sized
 CAPACITY = 1024
 END = 2
 TOKENIZER = "byte_bpe_50k"
-SALTS = 64  # tasks that share the ranking of one length
 ROUNDS = 300  # of the least-squares fit
 
 _loaded: dict = {}
@@ -203,9 +205,7 @@ def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[in
                 made.append((contents, repeats))
                 for v, c in need.items():
                     left[v] -= c * repeats
-    fitted = made + best_fit(left, capacity)
-    plain = best_fit(histogram.astype(np.int64), capacity)
-    return min(fitted, plain, key=lambda p: sum(r for _, r in p))
+    return made + best_fit(left, capacity)
 
 
 class _Place:
@@ -239,35 +239,36 @@ class _Place:
             )
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
-    """``cut`` (materialised; doc_id, piece, length and any others) with sequence_id and offset."""
+def pack(made: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """``made`` (doc_id, piece, start, length and one of the ids) with sequence_id and offset."""
+    columns = made.columns
+    cut = materialise(made.withColumn("_task", F.spark_partition_id()), "pieces")
     counts = cut.groupBy("length").count().collect()  # at most ``capacity`` rows
     histogram = np.zeros(capacity + 1, dtype=np.int64)
     for row in counts:
         histogram[row["length"]] = row["count"]
-    salted = cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
-    before = W.partitionBy("length").orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy("length").orderBy("_task").rowsBetween(W.unboundedPreceding, -1)
     firsts = (
-        salted.groupBy("length", "_salt")
+        cut.groupBy("length", "_task")
         .count()
-        .select("length", "_salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"))
+        .select("length", "_task", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"))
     )
-    rank = F.row_number().over(W.partitionBy("length", "_salt").orderBy("doc_id", "piece")) - 1
-    ranked = salted.withColumn("_rank", rank.cast("long")).join(sized(materialise(firsts, "firsts")), ["length", "_salt"])
-    ranked = ranked.select(*cut.columns, (F.col("_rank") + F.col("_first")).alias("_rank"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema)
+    rank = F.row_number().over(W.partitionBy("length", "_task").orderBy(*[c for c in columns if c != "length"])) - 1
+    ranked = cut.withColumn("_rank", rank.cast("long")).join(sized(materialise(firsts, "firsts")), ["length", "_task"])
+    ranked = ranked.select(*columns, (F.col("_rank") + F.col("_first")).alias("_rank"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in made.schema)
     return map_arrow(ranked, _Place(plan(histogram, capacity)), f"{fields}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, end: int = END, tokenizer: str = TOKENIZER) -> DataFrame:
     """Every piece with its token ids and its place."""
-    return pack(materialise(pieces(docs, capacity, end, tokenizer), "pieces"), capacity)
+    return pack(pieces(docs, capacity, end, tokenizer), capacity)
 
 
 def pack_digests(docs: DataFrame, capacity: int = CAPACITY, end: int = END, tokenizer: str = TOKENIZER) -> DataFrame:
     """Every piece with the CRC-32 of its token ids and its place."""
     cut = pieces(docs, capacity, end, tokenizer)
     cut = cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return pack(materialise(cut, "pieces"), capacity).select(
+    return pack(cut, capacity).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
     )
