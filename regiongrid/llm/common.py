@@ -6,6 +6,7 @@ executor and the driver share, so a lost executor never takes the only copy.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,6 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows up to which a key table may be broadcast: two longs a row, so at most
 #: some 50 MB. Larger tables take the shuffled join.
@@ -28,9 +30,11 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one if unset (tests)."""
+    """The folder in ``spark.checkpoint.dir``; where it is unset, a temporary one in local mode, else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="regiongrid-"))
         folder = _own[0]
@@ -65,6 +69,14 @@ def release(spark: SparkSession) -> int:
     return done
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it while ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``limit`` rows.
 
@@ -74,15 +86,30 @@ def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``df.mapInArrow`` with batches of at most ``ARROW_BYTES``, unless the session sets a bound of its own.
 
-    The bound is a setting of the session and stays.
+    The bound is a setting of the session and stays, as Spark reads it when the plan runs.
     """
     conf = df.sparkSession.conf
     if conf.get(_ARROW_KEY, None) is None:
         conf.set(_ARROW_KEY, ARROW_BYTES)
-    return df.mapInArrow(f, schema)
+    return df.mapInArrow(_Released(f), schema)
+
+
+class _Released:
+    """``f``, after which the worker, which Spark keeps, gives freed memory back to the system."""
+
+    def __init__(self, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+        self.f = f
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from self.f(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
 
 
 def ascii_lower(word: Column) -> Column:
@@ -120,9 +147,9 @@ def shingle_hashes(words: Column, width: int = 5) -> Column:
 
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-_BYTES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 2**64)
+BYTES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 2**64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -133,7 +160,7 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+def powers(base: int, n: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]))
 
@@ -159,8 +186,8 @@ def shingle_sets(texts: list[bytes], width: int = 5) -> tuple[np.ndarray, np.nda
     with np.errstate(over="ignore"):
         # a polynomial over each word, from prefix sums over all bytes
         total = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum(_BYTES[b] * _powers(_BASE, len(b))[:-1], out=total[1:])
-        word = mix((total[stop] - total[first]) * _powers(_INVERSE, len(b))[first])
+        np.cumsum(BYTES[b] * powers(BASE, len(b))[:-1], out=total[1:])
+        word = mix((total[stop] - total[first]) * powers(INVERSE, len(b))[first])
         n = len(word)
         gram = np.zeros(max(0, n - width + 1), np.uint64)
         for k in range(width):
