@@ -19,7 +19,9 @@ Defined results: null and empty texts hold nothing; items without words are
 found nowhere; items of fewer than ``width`` words are one shingle of all their
 words and are looked for as such; repeated items count apiece by item_id, and
 repeated documents each get their row; rows of one doc_id are taken as one
-document. Null ids never match. Only the id and text columns are read.
+document. Null ids never match. Only the id and text columns are read. A very long
+text is one row's array of word hashes, some 100 bytes of memory a word. Shingles
+are compared by 64-bit hashes of their words.
 """
 
 from __future__ import annotations
@@ -120,14 +122,19 @@ def remove_contaminated(
 def oracle(threshold: int = THRESHOLD) -> str:
     white = r"\x20\x09-\x0D"
 
+    def listed(table: str, key: str) -> str:
+        return f"SELECT {key}, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^{white}]+') AS ws FROM {table}"
+
     def shingles(table: str, key: str) -> str:
         return f"""SELECT {key}, len(ws) AS n, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [ws]
   ELSE list_transform(range(1, len(ws) - 3), lambda i: ws[i:i+4]) END) AS s
-  FROM (SELECT {key}, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^{white}]+') AS ws FROM {table})"""
+  FROM ({listed(table, key)})"""
 
     return f"""
-WITH d AS (SELECT DISTINCT doc_id, s FROM ({shingles("documents", "doc_id")})),
-b AS (SELECT DISTINCT item_id, s FROM ({shingles("benchmark", "item_id")})),
+WITH b AS (SELECT DISTINCT item_id, s FROM ({shingles("benchmark", "item_id")})),
+few AS (SELECT DISTINCT len(s) AS k FROM b WHERE len(s) < 5),
+d AS (SELECT DISTINCT doc_id, s FROM ({shingles("documents", "doc_id")})
+  UNION SELECT doc_id, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: ws[i:i+k-1])) FROM ({listed("documents", "doc_id")}), few),
 q AS (SELECT item_id, count(*) AS q FROM b GROUP BY 1),
 h AS (SELECT doc_id, item_id, count(*) AS c FROM d JOIN b USING (s) GROUP BY 1, 2),
 p AS (SELECT doc_id, count(*) AS n_items, min(item_id) AS first_item FROM h JOIN q USING (item_id) WHERE 100 * c >= {threshold} * q GROUP BY 1)
