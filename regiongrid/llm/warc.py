@@ -3,13 +3,15 @@
 Writer: every task writes its records to archive files of bounded size in the
 folder given as ``path``, under names that no other attempt uses; the commit
 writes a manifest of the files of the tasks that counted, so files of lost or
-repeated attempts are never read.
+repeated attempts are never read. ``append`` adds to the manifest's files;
+``overwrite`` deletes them once the new manifest is there.
 
 Reader: the manifest (or the folder's listing) gives the files; they are packed
-into partitions by size. Filters on ``record_type`` and ``target_uri`` are pushed
-into the reader. Headers are parsed first; the payload of a record that no
-filter wants, or of any record when ``payload=false``, is skipped (by seeking in
-plain archives, by discarding inflated bytes in ``.gz``) and never decoded.
+into partitions by size. Comparisons of the header columns with constants (=, IN,
+<, <=, >, >=, prefixes, IS NULL and IS NOT NULL) are pushed into the reader. Headers
+are parsed first; the payload of a record that no filter wants, or of any record
+when ``payload=false``, is skipped (by seeking in plain archives, by discarding
+inflated bytes in ``.gz``) and never decoded.
 
 Archives are reached by pyarrow's file systems, so shared stores work as well as
 a shared folder.
@@ -17,7 +19,8 @@ a shared folder.
 Defined results of ``archive_pages``: a null html is an empty payload; rows that
 repeat a page_id are one page each and may be ``response`` together; rows with a
 null page_id are written as ``response`` with an empty id; an empty table writes
-no record; other columns are ignored.
+no record; other columns are ignored. A payload is held whole in memory, some four
+times while it is written.
 """
 
 from __future__ import annotations
@@ -39,8 +42,15 @@ from pyspark.sql.datasource import (
     DataSourceArrowWriter,
     DataSourceReader,
     EqualTo,
+    GreaterThan,
+    GreaterThanOrEqual,
     In,
     InputPartition,
+    IsNotNull,
+    IsNull,
+    LessThan,
+    LessThanOrEqual,
+    StringStartsWith,
     WriterCommitMessage,
 )
 
@@ -49,7 +59,7 @@ from .common import materialise, shared_path, sized
 MANIFEST = "_manifest.json"
 SCHEMA = "record_id string, record_type string, target_uri string, warc_date string, payload_digest string, refers_to string, http_length bigint, payload binary"
 FILE_BYTES = 64 << 20  # an archive is closed once it holds more
-PART_BYTES = 128 << 20  # archives read by one task, unless one alone is larger
+PART_BYTES = 8 << 20  # archives read by one task, unless one alone is larger
 CHUNK = 1 << 20
 BATCH_BYTES, ROW_BYTES = 4 << 20, 500  # of records sent to Spark at once, unless one is longer; headers of one
 DATE = "2000-01-01T00:00:00Z"  # records of tables have no crawl date
@@ -95,9 +105,19 @@ class Written(WriterCommitMessage):
         self.files = files
 
 
+def listed(fs, root: str) -> list[tuple[str, int]] | None:
+    """(name, size) of the manifest's archives; none without a manifest."""
+    from pyarrow import fs as pafs
+
+    if fs.get_file_info(f"{root}/{MANIFEST}").type != pafs.FileType.File:
+        return None
+    with fs.open_input_stream(f"{root}/{MANIFEST}", compression=None) as f:
+        return [tuple(x) for x in json.loads(f.read())]
+
+
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict):
-        self.path = options["path"].rstrip("/")
+    def __init__(self, options: dict, overwrite: bool = False):
+        self.path, self.overwrite = options["path"].rstrip("/"), overwrite
         self.gzip = options.get("compression", "gzip") == "gzip"
         self.limit = int(options.get("maxfilebytes", FILE_BYTES))
 
@@ -132,9 +152,13 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages) -> None:
         fs, root = filesystem(self.path)
         fs.create_dir(root, recursive=True)
+        before = listed(fs, root) or []
         files = [f for m in messages if m for f in m.files]
         with fs.open_output_stream(f"{root}/{MANIFEST}", compression=None) as out:
-            out.write(json.dumps(files).encode())
+            out.write(json.dumps(files if self.overwrite else before + files).encode())
+        if self.overwrite:
+            for name, _ in before:
+                fs.delete_file(f"{root}/{name}")
 
     def abort(self, messages) -> None:
         fs, root = filesystem(self.path)
@@ -181,6 +205,15 @@ class Stream:
         lines, self.buffer = self.buffer[:at].split(b"\r\n"), self.buffer[at + 4 :]
         return lines
 
+    def http(self, n: int) -> tuple[bytes, int]:
+        """(HTTP head, bytes read) of a block of ``n`` bytes; all of it if no empty line ends the head."""
+        while (at := self.buffer.find(b"\r\n\r\n", 0, n)) < 0 and len(self.buffer) < n:
+            if not self.fill():
+                raise EOFError("archive ends within a record")
+        stop = n if at < 0 else at + 4
+        head, self.buffer = self.buffer[:stop], self.buffer[stop:]
+        return head, stop
+
     def read(self, n: int) -> bytes:
         parts = io.BytesIO()
         while n > 0:
@@ -216,30 +249,50 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
 
+HEADER = ("record_id", "record_type", "target_uri", "warc_date", "payload_digest", "refers_to")
+#: Tests of a header's value, which is not null, against a constant; text is ordered by its bytes.
+TESTS = {
+    EqualTo: lambda x, v: x == v,
+    In: lambda x, v: x in v,
+    GreaterThan: lambda x, v: x.encode() > v.encode(),
+    GreaterThanOrEqual: lambda x, v: x.encode() >= v.encode(),
+    LessThan: lambda x, v: x.encode() < v.encode(),
+    LessThanOrEqual: lambda x, v: x.encode() <= v.encode(),
+    StringStartsWith: lambda x, v: x.startswith(v),
+}
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"].rstrip("/")
         self.payload = options.get("payload", "true") != "false"
         self.part_bytes = int(options.get("partitionbytes", PART_BYTES))
-        self.wanted: dict[str, set] = {}
+        self.wanted: list = []
 
     def pushFilters(self, filters):
         for f in filters:
-            if isinstance(f, EqualTo | In) and f.attribute in (("record_type",), ("target_uri",)):
-                values = {f.value} if isinstance(f, EqualTo) else set(f.value)
-                had = self.wanted.get(f.attribute[0])
-                self.wanted[f.attribute[0]] = values if had is None else had & values
+            of = getattr(f, "attribute", None)
+            if of and len(of) == 1 and of[0] in HEADER and (type(f) in (IsNull, IsNotNull) or type(f) in TESTS and f.value is not None):
+                self.wanted.append(f)
             else:
                 yield f
 
+    def wants(self, header: dict) -> bool:
+        """All pushed filters hold of a record's header columns."""
+        for f in self.wanted:
+            x = header[f.attribute[0]]
+            if isinstance(f, IsNull | IsNotNull):
+                if (x is None) != isinstance(f, IsNull):
+                    return False
+            elif x is None or not TESTS[type(f)](x, f.value):
+                return False
+        return True
+
     def partitions(self):
         from pyarrow import fs as pafs
 
         fs, root = filesystem(self.path)
-        if fs.get_file_info(f"{root}/{MANIFEST}").type == pafs.FileType.File:
-            with fs.open_input_stream(f"{root}/{MANIFEST}", compression=None) as f:
-                files = [tuple(x) for x in json.loads(f.read())]
-        else:
+        if (files := listed(fs, root)) is None:
             found = fs.get_file_info(pafs.FileSelector(root))
             files = [(x.base_name, x.size) for x in found if x.base_name.endswith((".warc", ".warc.gz"))]
         parts, size = [], 0
@@ -257,14 +310,16 @@ class WarcReader(DataSourceReader):
             for line in lines[1:]:
                 k, _, v = line.decode("utf-8", "replace").partition(":")
                 h[k.strip().lower()] = v.strip()
-            length = int(h.get("content-length", 0))
-            kind, uri = h.get("warc-type"), h.get("warc-target-uri")
-            if any({"record_type": kind, "target_uri": uri}[k] not in v for k, v in self.wanted.items()):
+            length, kind = int(h.get("content-length", 0)), h.get("warc-type")
+            ids = [(h.get(k) or "").strip("<>").removeprefix("urn:page:") or None for k in ("warc-record-id", "warc-refers-to")]
+            digest = (h.get("warc-payload-digest") or "").removeprefix("sha1:") or None
+            header = dict(zip(HEADER, (ids[0], kind, h.get("warc-target-uri"), h.get("warc-date"), digest, ids[1]), strict=True))
+            if not self.wants(header):
                 stream.skip(length)
                 continue
             http, body, left = None, None, length
             if kind in ("response", "revisit") and h.get("content-type", "").startswith("application/http"):
-                before = len(head := b"\r\n".join(stream.head() or [])) + 4
+                head, before = stream.http(length)
                 left -= before
                 for line in head.split(b"\r\n"):
                     if line.lower().startswith(b"content-length:"):
@@ -273,9 +328,7 @@ class WarcReader(DataSourceReader):
                 body = stream.read(left)
             else:
                 stream.skip(left)
-            ids = [(h.get(k) or "").strip("<>").removeprefix("urn:page:") or None for k in ("warc-record-id", "warc-refers-to")]
-            digest = (h.get("warc-payload-digest") or "").removeprefix("sha1:") or None
-            yield ids[0], kind, uri, h.get("warc-date"), digest, ids[1], http, body
+            yield *header.values(), http, body
 
     def read(self, partition: Archives):
         fs, root = filesystem(self.path)
@@ -306,10 +359,11 @@ class WarcDataSource(DataSource):
         return WarcReader({k.lower(): v for k, v in self.options.items()})
 
     def writer(self, schema, overwrite) -> WarcWriter:
-        return WarcWriter({k.lower(): v for k, v in self.options.items()})
+        return WarcWriter({k.lower(): v for k, v in self.options.items()}, overwrite)
 
 
 def register(spark: SparkSession) -> None:
+    """Make the format known to the session and let it push filters down, which stays on."""
     spark.dataSource.register(WarcDataSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
