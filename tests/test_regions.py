@@ -1,12 +1,13 @@
 import json
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from regiongrid import api, fixtures
-from regiongrid.functions import adcode, crs
+from regiongrid.functions import adcode, crs, point
 from regiongrid.operators import hierarchy, ingest, quality, reverse, search, versioning
 from regiongrid.plans.registry import RegionRegistry
 from regiongrid.sources import admin, geojson, payload
@@ -143,8 +144,13 @@ def test_representative_points_are_inside(spark, tool):
         assert (r["level"], r["pos"]) in {(h["level"], h["pos"]) for h in hits}, (r["code"], hit)
 
 
+def by_plan(spark, name, lng, lat):
+    point = spark.createDataFrame([(float(lng), float(lat))], "lng double, lat double")
+    return tuple(point.select(*[F.expr(t) for t in crs.TRANSFORMS[name]("lng", "lat")]).first())
+
+
 def test_crs_facts(spark):
-    c = lambda n, x, y: api.convert(spark, n, x, y)
+    c = lambda n, x, y: getattr(api, n)(x, y)
     x, y = c("wgs84_to_gcj02", 116.3, 39.9)
     assert 0 < abs(x - 116.3) < 0.01 and 0 < abs(y - 39.9) < 0.01
     for p in ((0.0, 0.0), (139.69, 35.68)):
@@ -156,14 +162,60 @@ def test_crs_facts(spark):
     assert all(abs(a - b) < 1e-10 for a, b in zip(c("wgs84_to_bd09", 116.3, 39.9), c("gcj02_to_bd09", x, y), strict=True))
     assert all(math.isnan(v) for v in c("wgs84_to_gcj02", float("nan"), float("nan")))
     assert c("gcj02_to_bd09", 0.0, 0.0) != (0.0, 0.0)
-    assert api.distance(spark, 39.9, 116.4, 39.9, 116.4) == 0.0
-    assert 1000 < api.distance(spark, 39.9, 116.4, 31.2, 121.5) < 1200
-    assert 250 < api.distance(spark, 32.06, 118.79, 31.23, 121.47) < 290
-    assert abs(api.distance(spark, 0, 0, 0, 180) - 6371 * math.pi) < 1e-6
+    assert api.distance(39.9, 116.4, 39.9, 116.4) == 0.0
+    assert 1000 < api.distance(39.9, 116.4, 31.2, 121.5) < 1200
+    assert 250 < api.distance(32.06, 118.79, 31.23, 121.47) < 290
+    assert abs(api.distance(0, 0, 0, 180) - 6371 * math.pi) < 1e-6
     crs.register(spark)
     assert spark.sql("SELECT haversine_km(0D, 0D, 0D, 0D), wgs84_to_gcj02_lng(0D, 0D)").first() == (0.0, 0.0)
 
 
+def test_crs_plans_equal_single_points(spark):
+    r = random.Random(8)
+    points = [(r.uniform(70, 140), r.uniform(0, 57)) for _ in range(200)] + [(105.0, 35.0), (72.004, 30.0), (0.0, 0.0)]
+    d = spark.createDataFrame(points, "lng double, lat double")
+    for name in crs.TRANSFORMS:
+        if name.startswith("etl"):
+            continue
+        got = d.select("lng", "lat", *[F.expr(t) for t in crs.TRANSFORMS[name]("lng", "lat")]).collect()
+        assert all(abs(v - w) < 1e-9 for lng, lat, *out in got for v, w in zip(out, getattr(point, name)(lng, lat), strict=True)), name
+    got = d.select("lng", "lat", F.expr(crs.distance("lat", "lng", "39.9e0", "116.4e0"))).collect()
+    assert all(abs(km - point.distance(lat, lng, 39.9, 116.4)) < 1e-7 for lng, lat, km in got)
+
+
+def test_exports_and_module_calls(spark, folder):
+    import regiongrid
+
+    assert all(hasattr(regiongrid, name) for name in regiongrid.__all__) and len(regiongrid.__all__) == 20
+    api._default.clear()
+    with pytest.raises(RuntimeError):
+        regiongrid.reverse(40.5, 116.5)
+    regiongrid.use(spark, folder)
+    assert regiongrid.reverse(40.5, 116.5).district.code == "110101" and regiongrid.get_region("460400").level == "city"
+    assert regiongrid.reverse_batch([(40.5, 116.5)])[0] == regiongrid.reverse(40.5, 116.5)
+    assert regiongrid.search("朝阳区", city="长春市")[0].code == "220104" and regiongrid.is_in_china(40.5, 116.5)
+    assert regiongrid.lookup_adcode("440305").city.code == "440300" and regiongrid.is_in_region(21.5, 110.5, "440300")
+    assert len(regiongrid.list_regions("city")) == 5 and regiongrid.get_administrative_tree() is regiongrid.get_administrative_tree()
+    began = time.perf_counter()
+    for _ in range(100):
+        regiongrid.reverse(40.5, 116.5), regiongrid.search("朝阳区"), regiongrid.lookup_adcode("440305")
+    assert (time.perf_counter() - began) / 300 < 0.005
+
+
+def test_single_calls_equal_the_plans(spark, tool, folder):
+    plans = api.RegionTool(spark, folder, local=False)
+    r = random.Random(5)
+    coords = [(r.choice([r.uniform(17, 50), float(r.randint(17, 50)), r.randint(34, 100) / 2]), r.choice([r.uniform(72, 133), float(r.randint(72, 133))])) for _ in range(400)]
+    coords += [(float("nan"), 116.0), (40.0, float("inf")), (0.0, 0.0)]
+    assert [tool.reverse(*c) for c in coords] == plans.reverse_batch(coords)
+    for code in sorted({x[1] for x in fixtures.REGIONS} | {"110100", "440399", "abc", "", "999999"}):
+        assert tool.get_region(code) == plans.get_region(code) and tool.lookup_adcode(code) == plans.lookup_adcode(code)
+    for args in ({"query": "区$"}, {"query": "朝阳区", "province": "110000"}, {"query": "", "city": "220100"}, {"query": "460400"}, {"query": "市", "level": "city"}):
+        assert tool.search(**args) == plans.search(**args)
+    assert tool.list_regions("district") == plans.list_regions("district")
+    assert tool.is_in_china(40.5, 116.5) == plans.is_in_china(40.5, 116.5) and tool.is_in_region(40.5, 116.5, "110100") == plans.is_in_region(40.5, 116.5, "110100")
+
+
 def test_codes(spark):
     d = spark.createDataFrame([("440305",), ("440300",), ("440000",), ("44",), (None,)], "c string")
     assert [r[0] for r in d.select(adcode.level(F.col("c"))).collect()] == ["district", "city", "province", None, None]
@@ -193,7 +245,7 @@ def test_ingest(spark, tmp_path):
     n = ingest.normalise(payload.read_payload(spark, str(tmp_path / "p.json")), "province")
     row = ingest.convert(n).first()
     assert row["adcode"] == "110000" and row["childrenNum"] == 0 and row["centroid"] is None
-    want = api.convert(spark, "etl_gcj02_to_wgs84", 116.3, 39.9)
+    want = by_plan(spark, "etl_gcj02_to_wgs84", 116.3, 39.9)
     assert tuple(row["center"]) == want == tuple(row["polygons"][0][0][0])
 
 
