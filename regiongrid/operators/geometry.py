@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GRID = 0.5  # degrees
-#: Regions cover cells in proportion to their area; beyond this many index rows the index is joined by shuffle.
-INDEX_ROWS = 2_000_000
+#: Beyond so many bytes the index is joined by shuffle. It holds cells, their candidates and the edges of these.
+INDEX_BYTES, CELL_BYTES, CANDIDATE_BYTES, EDGE_BYTES = 256 << 20, 64, 64, 40
 
 
 def edges_of(regions: DataFrame) -> DataFrame:

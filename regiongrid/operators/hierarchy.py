@@ -14,7 +14,8 @@ def lookup(codes: DataFrame, registry: RegionRegistry | None = None, regions: Da
     """``codes`` (code, any others) with structs province, city and district of its chain.
 
     A chain may be partial; a malformed or wholly unknown code has nulls.
-    ``regions`` (level, code, name), one row each, may stand in for a registry.
+    ``regions`` (level, code, name), one row each, may stand in for a registry; it
+    may be large, so Spark picks the joins.
     """
     known = registry.by_code() if regions is None else regions
     fields = [F.col(c) for c in ("name", "code", "level", "rep_lat", "rep_lng") if c in known.columns]
@@ -29,7 +30,7 @@ def lookup(codes: DataFrame, registry: RegionRegistry | None = None, regions: Da
     out = codes
     for x in LEVELS:
         side = known.where(F.col("level") == x).select(F.col("code").alias(f"_{x}"), F.struct(*fields).alias(x))
-        out = out.withColumn(f"_{x}", want[x]).join(F.broadcast(side), f"_{x}", "left").drop(f"_{x}")
+        out = out.withColumn(f"_{x}", want[x]).join(side if registry is None else registry.hint(side), f"_{x}", "left").drop(f"_{x}")
     as_city = F.col("province").withField("level", F.lit("city"))
     return out.withColumn("city", F.when((level != "province") & merged, as_city).otherwise(F.col("city")))
 
@@ -49,13 +50,13 @@ def tree_edges(admin: DataFrame) -> DataFrame:
     code = F.col("code")
     top = one("province").groupBy("code").agg(F.max_by("name", "pos").alias("name"))
     city = one("city").where(~adcode.is_merged(code)).select("code", "name", adcode.province_code(code).alias("parent"))
-    city = city.join(F.broadcast(top.select(F.col("code").alias("parent"))), "parent")
+    city = city.join(top.select(F.col("code").alias("parent")), "parent")
     merged = top.where(adcode.is_merged(code)).select("code", "name", code.alias("parent"))
     d = one("district").select("code", "name")
     ordinary = d.where(~adcode.is_merged(code)).withColumn("p4", adcode.prefix(code, 4))
-    under_city = ordinary.join(F.broadcast(city.select(F.col("code").alias("parent"), adcode.prefix(code, 4).alias("p4")).distinct()), "p4")
+    under_city = ordinary.join(city.select(F.col("code").alias("parent"), adcode.prefix(code, 4).alias("p4")).distinct(), "p4")
     under_merged = d.where(adcode.is_merged(code)).withColumn("parent", adcode.province_code(code))
-    under_merged = under_merged.join(F.broadcast(merged.select("parent").distinct()), "parent")
+    under_merged = under_merged.join(merged.select("parent").distinct(), "parent")
     cols = ["parent", "parent_kind", "code", "name", "kind"]
     label = lambda df, p, k: df.withColumn("parent_kind", F.lit(p)).withColumn("kind", F.lit(k)).select(*cols)
     roots = top.withColumn("parent", F.lit(None).cast("string"))

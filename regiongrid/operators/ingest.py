@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import crs
-from ..schema import LEVELS
+from ..schema import ADMIN_FILE, GEOJSON_FILES, LEVELS, VERSION_FILE
+from ..sources.admin import version_record, write_admin, write_version
+from ..sources.geojson import parse_features, write_level
 
 
 def convert_column(df: DataFrame, name: str, depth: int) -> DataFrame:
@@ -23,9 +26,10 @@ def convert_column(df: DataFrame, name: str, depth: int) -> DataFrame:
 
 
 def normalise(features: DataFrame, level: str) -> DataFrame:
-    """pos, name, adcode (text), center, centroid, level, childrenNum (0 if absent) and polygons."""
+    """parent (if there), pos, name, adcode (text), center, centroid, level, childrenNum (0 if absent) and polygons."""
     p = F.col("properties")
     return features.select(
+        *[c for c in ("parent",) if c in features.columns],
         "pos",
         p["name"].alias("name"),
         p["adcode"].cast("string").alias("adcode"),
@@ -66,6 +70,36 @@ def build_levels(national: DataFrame, children: DataFrame, grandchildren: DataFr
     return every.withColumn("level_ord", order[F.col("level")])
 
 
+def levels_of(payloads: DataFrame, country: str = "100000") -> DataFrame:
+    """Regions in the form of the registry, with center, centroid and childrenNum, from raw payloads (parent, body).
+
+    The country's payload gives the provinces, those of provinces the level below
+    them, all others districts. Coordinates become WGS-84; regions are numbered
+    within a level by code.
+    """
+    f = parse_features(payloads)
+    parent = F.col("parent")
+
+    def normal(of: Column) -> DataFrame:
+        return convert(normalise(f.where(of), "district"))
+
+    national = normal((parent == country) & (F.col("properties.level") == "province")).drop("parent").withColumn("level", F.lit("province"))
+    children = normal((parent != country) & parent.endswith("0000"))
+    grandchildren = normal(~parent.endswith("0000"))
+    order = W.partitionBy("level").orderBy("adcode", "name")
+    built = build_levels(national, children, grandchildren).withColumn("pos", F.row_number().over(order) - 1)
+    return built.withColumnRenamed("adcode", "code")
+
+
+def write_all(regions: DataFrame, folder: str, source: str, source_url: str, api_base: str, notes: str = "") -> None:
+    """The data directory of built regions: three levels, admin list and version record."""
+    for level, name in GEOJSON_FILES.items():
+        write_level(regions, f"{folder}/{name}", level)
+    admin = regions.select(F.col("level").alias("kind"), "pos", "code", "name")
+    write_admin(admin, f"{folder}/{ADMIN_FILE}")
+    write_version(version_record(admin, source, source_url, api_base, notes), f"{folder}/{VERSION_FILE}")
+
+
 def admin_list(regions: DataFrame) -> DataFrame:
     """(kind, code, name) of built regions."""
     return regions.select(F.col("level").alias("kind"), F.col("adcode").alias("code"), "name")

@@ -55,8 +55,8 @@ def orphans(regions: DataFrame) -> DataFrame:
     """Cities without a province; districts without their parent."""
     code = F.col("code")
     at = {x: regions.where(F.col("level") == x) for x in LEVELS}
-    p2 = F.broadcast(at["province"].select(adcode.prefix(code, 2).alias("p")).distinct())
-    p4 = F.broadcast(at["city"].select(adcode.prefix(code, 4).alias("p")).distinct())
+    p2 = at["province"].select(adcode.prefix(code, 2).alias("p")).distinct()
+    p4 = at["city"].select(adcode.prefix(code, 4).alias("p")).distinct()
     city = at["city"].withColumn("p", adcode.prefix(code, 2)).join(p2, "p", "left_anti")
     d = at["district"]
     merged = d.where(adcode.is_merged(code)).withColumn("p", adcode.prefix(code, 2)).join(p2, "p", "left_anti")
@@ -76,7 +76,7 @@ def bad_geometry(regions: DataFrame) -> DataFrame:
 def uncovered_provinces(regions: DataFrame) -> DataFrame:
     """Provinces without any district, but for the one without sub-levels."""
     code = F.col("code")
-    d = F.broadcast(regions.where("level = 'district'").select(adcode.prefix(code, 2).alias("p")).distinct())
+    d = regions.where("level = 'district'").select(adcode.prefix(code, 2).alias("p")).distinct()
     p = regions.where("level = 'province'").withColumn("p", adcode.prefix(code, 2)).where(F.col("p") != NO_SUBLEVEL_PREFIX)
     return finding(p.join(d, "p", "left_anti"), "coverage", F.format_string("province %s has no district", "code"), "ERROR")
 
@@ -139,14 +139,14 @@ def missing_files(spark: SparkSession, data_dir: str) -> list[str]:
 
 
 def validate(spark: SparkSession, data_dir: str, bounds: dict = BOUNDS, places: tuple = LANDMARKS) -> DataFrame:
-    """Findings of a data directory; missing or unreadable files end the checks."""
+    """Findings of a data directory; missing or unreadable files end the checks. An empty collection is a matter of counts."""
     from ..sources import admin, geojson
 
     lost = [("files", f"{name} is missing", "ERROR", None, None) for name in missing_files(spark, data_dir)]
     if lost:
         return spark.createDataFrame(lost, FINDING)
     for level, name in GEOJSON_FILES.items():
-        if geojson.read_features(spark, f"{data_dir}/{name}").isEmpty():
+        if not geojson.is_readable(spark, f"{data_dir}/{name}"):
             return spark.createDataFrame([("load", f"{name} cannot be read", "ERROR", level, None)], FINDING)
     registry = RegionRegistry(spark, data_dir)
     return findings(registry, admin.read_admin(spark, f"{data_dir}/{ADMIN_FILE}"), admin.read_version(spark, f"{data_dir}/{VERSION_FILE}"), bounds, places)

@@ -42,7 +42,7 @@ def reverse(points: DataFrame, registry: RegionRegistry, backfill: bool = True)
     for level in LEVELS:
         first = F.array_min(F.transform(F.filter("_hits", lambda h: h["level"] == level), lambda h: h["pos"]))
         side = small.where(F.col("level") == level).select(F.col("pos").alias(f"_{level}"), F.col("r").alias(level))
-        out = out.withColumn(f"_{level}", first).join(F.broadcast(side), f"_{level}", "left").drop(f"_{level}")
+        out = out.withColumn(f"_{level}", first).join(registry.hint(side), f"_{level}", "left").drop(f"_{level}")
     out = out.drop("_hits")
     if backfill:
         as_city = F.col("province").withField("level", F.lit("city"))
@@ -72,7 +72,7 @@ def resolve_region(codes: DataFrame, registry: RegionRegistry) -> DataFrame:
     merged = (level == "city") & adcode.is_merged(c)
     d = codes.withColumn("_level", F.when(merged, "province").otherwise(level)).withColumn("_code", F.when(merged, adcode.province_code(c)).otherwise(c))
     known = registry.by_code().select(F.col("level").alias("_level"), F.col("code").alias("_code"), F.col("pos").alias("region_pos"))
-    d = d.join(F.broadcast(known), ["_level", "_code"], "left")
+    d = d.join(registry.hint(known), ["_level", "_code"], "left")
     error = F.when(F.col("_level").isNull(), "malformed code").when(F.col("region_pos").isNull(), "unknown code")
     return d.withColumn("error", error).withColumnRenamed("_level", "region_level").drop("_code")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.registry import RegionRegistry
@@ -21,7 +21,7 @@ def _within(hits: DataFrame, registry: RegionRegistry, level: str, parent: str)
     points = hits.withColumn("lat", F.round("rep_lat", 6)).withColumn("lng", F.round("rep_lng", 6))
     held = locate(points, registry).withColumn("_parents", F.transform(F.filter("_hits", lambda h: h["level"] == level), lambda h: h["pos"]))
     one = row.select(F.col("pos").alias("_parent"))
-    return held.join(F.broadcast(one), F.array_contains("_parents", F.col("_parent")), "left_semi").drop("_hits", "_parents", "lat", "lng")
+    return held.join(registry.hint(one), F.array_contains("_parents", F.col("_parent")), "left_semi").drop("_hits", "_parents", "lat", "lng")
 
 
 def search(registry: RegionRegistry, query: str, level: str | None = None, province: str | None = None, city: str | None = None, fuzzy: bool = True) -> DataFrame:
@@ -41,7 +41,7 @@ def search(registry: RegionRegistry, query: str, level: str | None = None, provi
         exact = r.where(F.col("name") == query)
         hits = exact
         if fuzzy:
-            rest = r.join(F.broadcast(exact.select("level").distinct()), "level", "left_anti")
+            rest = r.join(registry.hint(exact.select("level").distinct()), "level", "left_anti")
             hits = exact.unionByName(rest.where(F.coalesce(F.col("name").rlike(query), F.lit(False))).select(exact.columns))
     for parent_level, parent in (("province", province), ("city", city)):
         if parent:
@@ -49,19 +49,40 @@ def search(registry: RegionRegistry, query: str, level: str | None = None, provi
     return hits.orderBy("level_ord", "pos")
 
 
+#: No pattern: only the letters themselves match. What is special in regular expressions.
+_PLAIN = r"^[^\\.\[\](){}*+?^$|]+$"
+
+
+def _bigrams(text: str) -> Column:
+    """Pairs of neighbouring characters, and the single ones."""
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - 1)), lambda i: F.substr(F.col(text), i, F.lit(2)))
+    return F.array_distinct(F.concat(pairs, F.split(text, "")))
+
+
 def search_many(registry: RegionRegistry, queries: DataFrame, fuzzy: bool = True) -> DataFrame:
     """``queries`` (query_id, query) with their hits: the batch form, without parents.
 
-    Codes and names are equi-joins; only the queries left over meet each name of
-    the broadcast region table as patterns.
+    Codes and names are equi-joins. Of the other queries, plain texts meet only the
+    names that hold their first two characters, by an equi-join; regular expressions
+    meet each name. A query that is no regular expression has one row without a
+    region and with an ``error``; it fails nothing else.
     """
     q = queries.select("query_id", "query", F.coalesce(F.col("query").rlike("^[0-9]+$"), F.lit(False)).alias("digits"))
     cols = ["level", "level_ord", "pos", "code", "name"]
-    code = q.where("digits").join(F.broadcast(registry.by_code().select(*cols)), F.col("query") == F.col("code"))
-    name = q.where("NOT digits").join(F.broadcast(registry.names.select(*cols)), F.col("query") == F.col("name"))
+    names = registry.names.select(*cols)
+    code = q.where("digits").join(registry.hint(registry.by_code().select(*cols)), F.col("query") == F.col("code"))
+    name = q.where("NOT digits").join(registry.hint(names), F.col("query") == F.col("name"))
     hits = code.unionByName(name)
-    if fuzzy:
-        done = name.select("query_id", "level").distinct()
-        loose = q.where("NOT digits").join(F.broadcast(registry.names.select(*cols)), F.expr("coalesce(rlike(name, query), false)"))
-        hits = hits.unionByName(loose.join(done, ["query_id", "level"], "left_anti").select(name.columns))
-    return hits.drop("digits")
+    error = F.lit(None).cast("string")
+    if not fuzzy:
+        return hits.drop("digits").withColumn("error", error)
+    done = name.select("query_id", "level").distinct()
+    open_ = q.where("NOT digits")
+    plain = open_.where(F.col("query").rlike(_PLAIN))
+    grams = names.withColumn("_gram", F.explode(_bigrams("name")))
+    loose = plain.withColumn("_gram", F.substring("query", 1, 2)).join(grams, "_gram").where(F.col("name").contains(F.col("query"))).drop("_gram")
+    pattern = open_.where(~F.col("query").rlike(_PLAIN)).withColumn("_ok", F.expr("try_reflect('java.util.regex.Pattern', 'matches', query, '')").isNotNull())
+    loose = loose.unionByName(pattern.where("_ok").drop("_ok").join(registry.hint(names), F.expr("coalesce(rlike(name, query), false)")))
+    hits = hits.unionByName(loose.join(done, ["query_id", "level"], "left_anti").select(name.columns))
+    bad = pattern.where("NOT _ok").drop("_ok").select("*", *[F.lit(None).cast(names.schema[c].dataType).alias(c) for c in cols])
+    return hits.withColumn("error", error).unionByName(bad.withColumn("error", F.lit("not a regular expression"))).drop("digits")

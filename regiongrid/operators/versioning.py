@@ -31,7 +31,7 @@ def count_changes(old: DataFrame, new: DataFrame) -> DataFrame:
 def report(old: DataFrame, new: DataFrame, old_version: str = "?", new_version: str = "?") -> str:
     """The differences as Markdown. Admin lists have a few thousand entries."""
     lines = [f"# Region data: {old_version} to {new_version}", "", "| level | before | after | change |", "|---|---|---|---|"]
-    lines += [f"| {r['kind']} | {r['n_before']} | {r['n_after']} | {r['change']} |" for r in count_changes(old, new).collect()]
+    lines += [f"| {r['kind']} | {r['n_before']} | {r['n_after']} | {r['change']} |" for r in sorted(count_changes(old, new).collect(), key=lambda r: LEVELS.index(r["kind"]))]
     for title, rows in (("Added", added(old, new)), ("Removed", removed(old, new))):
         found = rows.orderBy(*KEY).collect()
         lines += ["", f"## {title} ({len(found)})", ""] + [f"- {r['kind']} {r['code']} {r['name']}" for r in found]

@@ -11,6 +11,9 @@ from ..schema import LEVELS
 from ..sources.geojson import read_levels
 
 
+REGION_ROWS = 1_000_000  # at some 100 bytes without geometry
+
+
 def region(level: Column | None = None) -> Column:
     """A region row as the result record."""
     return F.struct(
@@ -36,7 +39,8 @@ class RegionRegistry:
         rep = geometry.representative_points(base)
         self.regions = base.join(rep, ["level", "pos"], "left").persist(StorageLevel.MEMORY_AND_DISK)
         self.index = geometry.cell_index(base, grid).persist(StorageLevel.MEMORY_AND_DISK)
-        self._index_rows: int | None = None
+        self._index_bytes: int | None = None
+        self._rows: int | None = None
 
     @property
     def names(self) -> DataFrame:
@@ -44,10 +48,18 @@ class RegionRegistry:
         return self.regions.drop("polygons")
 
     def cells(self) -> DataFrame:
-        """The cell index, to be broadcast if its row count allows."""
-        if self._index_rows is None:
-            self._index_rows = self.index.count()
-        return F.broadcast(self.index) if self._index_rows <= geometry.INDEX_ROWS else self.index
+        """The cell index, to be broadcast if its bytes allow."""
+        if self._index_bytes is None:
+            edges = F.aggregate("candidates", F.lit(0).cast("bigint"), lambda n, c: n + F.size(c["edges"]))
+            size = F.count("*") * geometry.CELL_BYTES + F.sum(F.size("candidates")) * geometry.CANDIDATE_BYTES + F.sum(edges) * geometry.EDGE_BYTES
+            self._index_bytes = self.index.agg(size).first()[0] or 0
+        return F.broadcast(self.index) if self._index_bytes <= geometry.INDEX_BYTES else self.index
+
+    def hint(self, df: DataFrame) -> DataFrame:
+        """``df``, of at most one row a region and without geometry, to be broadcast if the regions are few enough."""
+        if self._rows is None:
+            self._rows = self.regions.count()
+        return F.broadcast(df) if self._rows <= REGION_ROWS else df
 
     def by_code(self) -> DataFrame:
         """One row a (level, code): the last of repeated codes."""

@@ -11,7 +11,15 @@ from ..schema import ADMIN, ADMIN_KINDS, VERSION
 
 def read_admin(spark: SparkSession, path: str) -> DataFrame:
     """(kind, pos, code, name) of the admin list."""
-    raw = spark.read.schema(ADMIN).option("multiLine", True).json(path)
+    return _entries(spark.read.schema(ADMIN).option("multiLine", True).json(path))
+
+
+def parse_admin(texts: DataFrame, name: str) -> DataFrame:
+    """The same of lists as JSON text in a column."""
+    return _entries(texts.select(F.from_json(name, ADMIN).alias("_a")).select("_a.*"))
+
+
+def _entries(raw: DataFrame) -> DataFrame:
     parts = [
         raw.select(F.lit(kind).alias("kind"), F.posexplode(key).alias("pos", "p")).select(
             "kind", "pos", F.col("p")[0].alias("code"), F.col("p")[1].alias("name")

@@ -14,11 +14,31 @@ def polygons_of(kind: Column, coordinates: Column) -> Column:
     return F.when(kind == "Polygon", one).when(kind == "MultiPolygon", F.from_json(coordinates, POLYGONS))
 
 
+def _collections(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(GEOJSON).option("multiLine", True).json(path)
+
+
+def is_readable(spark: SparkSession, path: str) -> bool:
+    """``path`` holds feature collections, perhaps empty ones, and nothing else."""
+    n = _collections(spark, path).agg(F.count("*"), F.count(F.when(F.col("type") == "FeatureCollection", F.col("features")))).first()
+    return n[0] > 0 and n[0] == n[1]
+
+
 def read_features(spark: SparkSession, path: str) -> DataFrame:
     """pos, properties, kind, coordinates and polygons of the features, in file order."""
-    raw = spark.read.schema(GEOJSON).option("multiLine", True).json(path)
-    f = raw.select(F.posexplode("features").alias("pos", "f"))
+    return _features(_collections(spark, path))
+
+
+def parse_features(bodies: DataFrame, body: str = "body") -> DataFrame:
+    """The same of feature collections as text, with the other columns of ``bodies``; unreadable text has no feature."""
+    rest = [c for c in bodies.columns if c != body]
+    return _features(bodies.select(*rest, F.from_json(body, GEOJSON).alias("_c")).select(*rest, "_c.features"), *rest)
+
+
+def _features(collections: DataFrame, *rest: str) -> DataFrame:
+    f = collections.select(*rest, F.posexplode("features").alias("pos", "f"))
     return f.select(
+        *rest,
         "pos",
         F.col("f.properties").alias("properties"),
         F.col("f.geometry.type").alias("kind"),
@@ -46,14 +66,15 @@ def read_levels(spark: SparkSession, data_dir: str) -> DataFrame:
 
 
 def feature_json(regions: DataFrame) -> DataFrame:
-    """One GeoJSON feature a row, as text, from level, pos, code, name, polygons."""
+    """One GeoJSON feature a row, as text, from level, pos, code, name, polygons and, if there, center, centroid and childrenNum."""
+    more = [F.col(c) for c in ("center", "centroid", "childrenNum") if c in regions.columns]
     return regions.select(
         "level",
         "pos",
         F.to_json(
             F.struct(
                 F.lit("Feature").alias("type"),
-                F.struct(F.col("name"), F.col("code").alias("adcode"), F.col("level")).alias("properties"),
+                F.struct(F.col("name"), F.col("code").alias("adcode"), F.col("level"), *more).alias("properties"),
                 F.struct(F.lit("MultiPolygon").alias("type"), F.col("polygons").alias("coordinates")).alias("geometry"),
             )
         ).alias("feature"),

@@ -7,6 +7,7 @@ import urllib.request
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .geojson import read_features
 
@@ -38,3 +39,9 @@ def fetch_payloads(spark: SparkSession, base: str, codes: list[str], opener: Cal
 def read_payload(spark: SparkSession, path: str) -> DataFrame:
     """Features of one or more payload files."""
     return read_features(spark, path)
+
+
+def read_payloads(spark: SparkSession, path: str) -> DataFrame:
+    """(parent, body) of payload files, whose names begin with the parent's code."""
+    text = spark.read.option("wholetext", True).text(path)
+    return text.select(F.regexp_extract(F.col("_metadata.file_name"), "^([0-9]{6})", 1).alias("parent"), F.col("value").alias("body"))

@@ -249,6 +249,81 @@ def test_ingest(spark, tmp_path):
     assert tuple(row["center"]) == want == tuple(row["polygons"][0][0][0])
 
 
+def test_payload_files_to_registry(spark, tmp_path):
+    """Raw payloads to levels in WGS-84, written and read again with all properties."""
+    def feature(code, level, west, south, size, children=0):
+        ring = [[west, south], [west + size, south], [west + size, south + size], [west, south + size], [west, south]]
+        middle = [west + size / 2, south + size / 2]
+        return {"type": "Feature", "properties": {"name": f"n{code}", "adcode": code, "center": middle, "centroid": None if children else middle, "level": level, "childrenNum": children}, "geometry": {"type": "Polygon", "coordinates": [ring]}}
+
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    payloads = {
+        "100000": [feature(440000, "province", 110.0, 21.0, 4.0, 2), feature(110000, "province", 115.0, 39.0, 2.0, 1), feature(0, "line", 100.0, 20.0, 1.0)],
+        "440000": [feature(440300, "city", 110.0, 21.0, 2.0, 1), feature(441900, "city", 112.0, 23.0, 1.0)],
+        "110000": [feature(110101, "district", 115.0, 39.0, 1.0)],
+        "440300": [feature(440305, "district", 110.0, 21.0, 1.0)],
+    }
+    for code, features in payloads.items():
+        (raw / f"{code}_full.json").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+    built = ingest.levels_of(payload.read_payloads(spark, str(raw))).persist()
+    out = str(tmp_path / "out")
+    ingest.write_all(built, out, "s", "u", "b")
+    codes = {x: [r["code"] for r in built.where(F.col("level") == x).orderBy("pos").collect()] for x in ("province", "city", "district")}
+    assert codes == {"province": ["110000", "440000"], "city": ["440300", "441900"], "district": ["110101", "440305", "441900"]}
+    back = geojson.read_features(spark, f"{out}/china_city.geojson").select("properties.*").collect()
+    want = point.gcj02_to_wgs84(111.0, 22.0)
+    assert [(r["adcode"], r["childrenNum"]) for r in back] == [("440300", 1), ("441900", 0)] and back[0]["centroid"] is None
+    assert all(abs(a - b) < 2e-6 for a, b in zip(back[0]["center"], want, strict=True))
+    found = api.RegionTool(spark, out).reverse(21.5, 110.5)
+    assert (found.province.code, found.city.code, found.district.code) == ("440000", "440300", "440305")
+    bounds = {"province": (1, 9), "city": (1, 9), "district": (1, 99)}
+    assert quality.validate(spark, out, bounds=bounds, places=()).isEmpty()
+    built.unpersist()
+
+
+def test_files_that_cannot_be_read(spark, folder, tmp_path):
+    import shutil
+
+    bounds = {"province": (1, 9), "city": (1, 9), "district": (1, 99)}
+    for text, category in (("{", "load"), ("[]", "load"), ('{"type": "Topology", "features": []}', "load"), ('{"type": "FeatureCollection", "features": []}', "count")):
+        shutil.rmtree(tmp_path / "d", ignore_errors=True)
+        shutil.copytree(folder, tmp_path / "d")
+        (tmp_path / "d" / "china_city.geojson").write_text(text)
+        found = quality.validate(spark, str(tmp_path / "d"), bounds=bounds, places=())
+        assert category in {r["category"] for r in found.collect()}, text
+
+
+def test_version_record_findings(spark, folder):
+    v = admin.read_version(spark, f"{folder}/DATA_VERSION.json")
+    r = geojson.read_levels(spark, folder)
+    assert quality.version_record(v, r).isEmpty()
+    wrong = v.withColumn("source", F.lit(None).cast("string")).withColumn("counts", F.col("counts").withField("cities", F.lit(99).cast("bigint")))
+    assert {x["message"] for x in quality.version_record(wrong, r).collect()} == {"key source is missing", "city: the record says 99, the data have 5"}
+
+
+def test_large_index_is_joined_by_shuffle(spark, folder, monkeypatch):
+    from regiongrid.operators import geometry
+    from regiongrid.plans import registry as plans
+
+    monkeypatch.setattr(geometry, "INDEX_BYTES", 1)
+    monkeypatch.setattr(plans, "REGION_ROWS", 1)
+    t = api.RegionTool(spark, folder, local=False)
+    assert t.registry.cells() is t.registry.index
+    assert t.reverse(40.5, 116.5).district.code == "110101" and t.search("朝阳区", city="长春市")[0].code == "220104"
+
+
+def test_search_many_with_a_broken_pattern(spark, tool):
+    q = [(0, "("), (1, "深圳"), (2, "区"), (3, "阳区"), (4, "^朝"), (5, None), (6, "")]
+    rows = search.search_many(tool.registry, spark.createDataFrame(q, "query_id int, query string")).collect()
+    assert [(r["query_id"], r["code"], r["error"]) for r in rows if r["error"]] == [(0, None, "not a regular expression")]
+    codes = lambda i: sorted(r["code"] for r in rows if r["query_id"] == i)
+    assert codes(1) == ["440300"] and codes(4) == ["110105", "220104"] and codes(5) == []
+    for i, text in q[1:5]:
+        assert codes(i) == sorted(r.code for r in tool.search(text)), text
+    assert len(codes(6)) == len(tool.search("")) == len(fixtures.REGIONS)
+
+
 def test_sinks_round_trip(spark, folder, tmp_path):
     r = geojson.read_levels(spark, folder)
     geojson.write_level(r, str(tmp_path / "g"), "province")
