@@ -56,13 +56,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Delete the tables this process wrote to the shared folder; return their number.
+def written() -> int:
+    """Number of tables in the shared folder that this process has not deleted: a mark for ``release``."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0) -> int:
+    """Delete the tables this process wrote to the shared folder after the mark ``since``; return their number.
 
     Call it when the results that read them have been consumed.
     """
     jvm, done = spark.sparkContext._jvm, 0
-    while _written:
+    while len(_written) > since:
         path = jvm.org.apache.hadoop.fs.Path(_written.pop())
         fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         done += bool(fs.delete(path, True))
@@ -128,8 +133,8 @@ def lower_words(text: Column) -> Column:
     return F.transform(words_of(text), ascii_lower)
 
 
-def shingle_hashes(words: Column, width: int = 5) -> Column:
-    """64-bit hashes of the distinct ``width``-word shingles of a word array.
+def shingle_hashes(words: Column, width: int = 5, distinct: bool = True) -> Column:
+    """64-bit hashes of the ``width``-word shingles of a word array, each once if ``distinct``.
 
     With fewer words the whole sequence is one shingle; without words the
     result is empty. ``words`` must be a column, not an expression, as each
@@ -141,9 +146,8 @@ def shingle_hashes(words: Column, width: int = 5) -> Column:
         lambda i: F.xxhash64(*[F.get(words, i + F.lit(k)) for k in range(width)]),
     )
     none = F.array().cast("array<bigint>")
-    return F.array_distinct(
-        F.when(n >= width, long).when(n > 0, F.array(F.xxhash64(words))).otherwise(none)
-    )
+    every = F.when(n >= width, long).when(n > 0, F.array(F.xxhash64(words))).otherwise(none)
+    return F.array_distinct(every) if distinct else every
 
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))

@@ -10,10 +10,12 @@ shingles must hold one of any s of them, so no contained item is missed. The
 documents are probed with the sketches only; a pair whose sketch is hit is a
 candidate and is verified by the exact count of common shingles.
 
-The index has q rows an item, s of them in the sketch; each is broadcast only when
-its row count is under ``common.BROADCAST_ROWS``; above that Spark shuffles both
-sides by the shingle. The documents are scanned once for candidates, and those with
-candidates once more.
+Within each row a bitmap of the sketches (``Bits``) drops nearly all shingles before
+any is a row of its own, so only hits are joined, by broadcast if the index's row
+count is under ``common.BROADCAST_ROWS``, else by a shuffle of the hits. The bitmap
+has sixteen bits a sketch row, up to half a megabyte; with more rows than that holds
+it lets more through, and nothing is missed. The documents are scanned once for
+candidates, and those with candidates once more, against all shingles of the items.
 
 Defined results: null and empty texts hold nothing; items without words are
 found nowhere; items of fewer than ``width`` words are one shingle of all their
@@ -33,6 +35,7 @@ from .common import lower_words, materialise, shingle_hashes, sized
 
 WIDTH = 5
 THRESHOLD = 75  # percent of an item's shingles
+LEAST_BITS, MOST_BITS = 12, 22  # powers of two: sizes of the bitmap
 
 
 def _runs(words: Column, size: int) -> Column:
@@ -59,20 +62,40 @@ def item_index(items: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH)
     ).dropDuplicates(["item_id", "shingle"])
 
 
+class Bits:
+    """A bitmap of the last bits of some shingles: a test without misses."""
+
+    def __init__(self, shingles: DataFrame):
+        rows = shingles.count()
+        self.size = next(2**p for p in range(LEAST_BITS, MOST_BITS + 1) if 2**p >= 16 * rows or p == MOST_BITS)
+        at = F.col("shingle").bitwiseAND(F.lit(self.size - 1))
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(F.lit(63)).cast("int"))
+        words = [0] * (self.size // 64)
+        # at most size / 64 rows
+        for r in shingles.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).collect():
+            words[r["word"]] = r["bits"]
+        self.words = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")  # folded to a constant
+
+    def may_hold(self, x: Column) -> Column:
+        at = x.bitwiseAND(F.lit(self.size - 1))
+        return F.getbit(F.get(self.words, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
 def _probes(docs: DataFrame, index: DataFrame, width: int) -> DataFrame:
-    """doc_id and every shingle of its text that could be of an item."""
+    """doc_id and the shingles of its text that are in ``index`` (shingle, n_words), and few others."""
+    bits = Bits(index)
     short = [r[0] for r in index.where(F.col("n_words") < width).select("n_words").distinct().collect()]  # at most width - 1 values
     d = docs.select("doc_id", lower_words(F.col("text")).alias("words")).where("doc_id IS NOT NULL")
-    found = shingle_hashes(F.col("words"), width)
+    found = shingle_hashes(F.col("words"), width, distinct=False)
     if short:
-        found = F.array_distinct(F.concat(found, *[_runs(F.col("words"), n) for n in short]))
-    return d.select("doc_id", F.explode(found).alias("shingle"))
+        found = F.concat(found, *[_runs(F.col("words"), n) for n in short])
+    return d.select("doc_id", F.explode(F.array_distinct(F.filter(found, bits.may_hold))).alias("shingle"))
 
 
 def candidates(docs: DataFrame, index: DataFrame, width: int = WIDTH) -> DataFrame:
     """Pairs (doc_id, item_id) in which the document holds a shingle of the item's sketch."""
-    sketch = index.where("in_sketch").select("shingle", "item_id")
-    return _probes(docs, index, width).join(sized(sketch), "shingle").select("doc_id", "item_id").distinct()
+    sketch = index.where("in_sketch")
+    return _probes(docs, sketch, width).join(sized(sketch.select("shingle", "item_id")), "shingle").select("doc_id", "item_id").distinct()
 
 
 def contained_items(
