@@ -4,9 +4,9 @@ Documents are tokenised and, where longer than a sequence, cut into pieces of
 its full length (the first piece takes the remainder). Only the histogram of
 piece lengths, at most ``capacity`` numbers, comes to the driver. There,
 patterns of two or three lengths that fill a sequence exactly are enumerated,
-their repeat counts fitted to the histogram by non-negative least squares and
-rounded down, and what is left over is packed best-fit by decreasing length,
-again on counts. The plan is a table of slots by length; each piece finds its
+their repeat counts fitted to the histogram by non-negative least squares, scaled
+and rounded, and what is left over is packed best-fit by decreasing length, again on
+counts. The plan is a table of slots by length; each piece finds its
 slot by its rank among the pieces of its length: its rank within the task that
 wrote it, after the counts of the tasks before. So a length that a third of the
 pieces share is ranked by as many tasks as wrote it.
@@ -39,6 +39,7 @@ CAPACITY = 1024
 END = 2
 TOKENIZER = "byte_bpe_50k"
 ROUNDS = 300  # of the least-squares fit
+SHARES = (1, 7 / 8, 3 / 4, 1 / 2, 1 / 4, 1 / 8, 1 / 16, 1 / 32)  # of the fitted counts
 
 _loaded: dict = {}
 
@@ -185,27 +186,48 @@ def best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int
     return [(tuple(c), r) for groups in free.values() for c, r in groups]
 
 
+def rounded(rows: np.ndarray, x: np.ndarray, left: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """Whole repeats of the patterns for fitted counts ``x``; takes what they use from ``left``.
+
+    What rounding takes from a pattern goes to the next one of the same longest piece.
+    """
+    made, carry, longest = [], 0.0, 0
+    for i in np.lexsort((-rows[:, 1], -rows[:, 0])):
+        carry = x[i] + (carry if rows[i, 0] == longest else 0.0)
+        longest = rows[i, 0]
+        if carry < 1:
+            continue
+        contents = tuple(int(v) for v in rows[i] if v)
+        need = {v: contents.count(v) for v in contents}
+        repeats = min(int(carry), *(int(left[v]) // c for v, c in need.items()))
+        if repeats > 0:
+            carry -= repeats
+            made.append((contents, repeats))
+            for v, c in need.items():
+                left[v] -= c * repeats
+    return made
+
+
 def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """Sequences for a histogram (index: length) as (lengths, repeats)."""
-    left = histogram.astype(np.int64).copy()
-    made: list[tuple[tuple[int, ...], int]] = []
-    if left[capacity]:
-        made.append(((capacity,), int(left[capacity])))
-        left[capacity] = 0
-    rows = patterns(np.flatnonzero(left), capacity)
-    if len(rows):
-        x = fit_counts(rows, left)
-        for i in np.argsort(-x, kind="stable"):
-            if x[i] < 1:
-                break
-            contents = tuple(int(v) for v in rows[i] if v)
-            need = {v: contents.count(v) for v in contents}
-            repeats = min(int(x[i]), *(int(left[v]) // c for v, c in need.items()))
-            if repeats > 0:
-                made.append((contents, repeats))
-                for v, c in need.items():
-                    left[v] -= c * repeats
-    return made + best_fit(left, capacity)
+    """Sequences for a histogram (index: length) as (lengths, repeats).
+
+    Patterns may take the short pieces that long ones need beside them, so of the
+    fitted counts that one of ``SHARES`` is used that leads to the fewest sequences
+    once the residual is packed.
+    """
+    whole = histogram.astype(np.int64).copy()
+    full = [((capacity,), int(whole[capacity]))] if whole[capacity] else []
+    whole[capacity] = 0
+    rows = patterns(np.flatnonzero(whole), capacity)
+    x = fit_counts(rows, whole) if len(rows) else np.zeros(0)
+    best, fewest = [], None
+    for share in SHARES:
+        left = whole.copy()
+        made = rounded(rows, share * x, left) + best_fit(left, capacity)
+        number = sum(r for _, r in made)
+        if fewest is None or number < fewest:
+            best, fewest = made, number
+    return full + best
 
 
 class _Place:
