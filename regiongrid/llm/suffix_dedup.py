@@ -10,19 +10,21 @@ in a document of smaller doc_id or further up in the same one.
    in forty is an anchor. What surrounds it, as far as a string that holds it can
    reach, is its context. Equal contexts within a block are settled there, so a
    passage that a third of all documents share is at most one row a block.
-3. Anchors are shuffled by their hash and sorted; an equal context repeats an
-   earlier one in full. Contexts that share the anchor but differ go on.
+3. Anchors are shuffled by their hash and sorted; an equal context (by a digest of
+   128 bits) repeats an earlier one in full. Contexts that share the anchor but differ go on.
 4. These contexts are read from their blocks and shuffled by anchor. In each
-   batch of whole anchor groups the suffixes are sorted in two stages (suffixes
-   smaller than their successors directly, the others induced by bucket scans),
-   and runs of adjacent common prefixes of ``width`` bytes are the repeats.
+   batch of whole anchor groups, bounded in bytes, the suffixes are sorted in two
+   stages (suffixes smaller than their successors directly, the others induced by
+   bucket scans), and runs of adjacent common prefixes of ``width`` bytes are the
+   repeats. Strings whose common bytes no other context of the group has are left
+   out before.
 5. An anchor with more than ``HOT`` different contexts (the edge of a passage that
    very many documents share) would make one group too large for a task. Its
    contexts are not gathered: they are cut into runs of neighbouring strings, and
    the bytes that a run's strings have in common are counted with partial sums.
    Runs whose bytes occur once repeat nothing; those whose bytes occur up to
    ``HOT`` times form groups of their own in stage 4; the strings of the others
-   meet by their hash, once a block.
+   meet by a digest of 128 bits, once a batch.
 6. The marked spans meet their blocks again, and the rest of each text is kept.
 
 No stage needs more than its own rows; blocks, anchors and contexts scale with
@@ -39,19 +41,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialise, sized
+from .common import BASE, BYTES, INVERSE, map_arrow, materialise, mix, powers, sized
 
 WIDTH = 100
 GRAM = 24
 BLOCK_BYTES = 2_000_000  # of text in a block, unless one text is longer
-BATCH = 3_000  # contexts whose suffixes are sorted together, unless one anchor has more
-HOT = 20_000  # contexts of one anchor that one task may hold
+BATCH_BYTES = 300_000  # of contexts whose suffixes are sorted together, unless one anchor has more
+HOT = 4_000  # contexts of one anchor that one task may hold: 0.7 MB
+RUN_BYTES = 500_000  # of text whose anchors are found together, unless one text is longer
 NULL_ID = -(2**63)
 BLOCK_SCHEMA = "block long, ids array<long>, sizes array<long>, data binary"
 
@@ -63,103 +67,103 @@ def _direct_order(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     Words of eight bytes are compared in turn, and only among what is still tied.
     """
     padded = np.concatenate([text, np.zeros(depth + 16, np.uint8)])
-    words = np.ndarray(len(padded) - 7, dtype=">u8", buffer=padded.tobytes(), strides=(1,))
-    order = at[np.argsort(words[at].astype(np.uint64), kind="stable")]
-    key = words[order].astype(np.uint64)
+    words = np.ndarray(len(padded) - 7, dtype=">u8", buffer=padded.data, strides=(1,))
+    key = words[at].astype(np.uint64)
+    o = np.argsort(key)
+    order, key = at[o], key[o]
     new = np.append(True, key[1:] != key[:-1])
+    tied = np.arange(len(at), dtype=np.int32)
     for shift in range(8, depth, 8):
-        group = np.cumsum(new) - 1
-        size = np.bincount(group)
-        tied = np.flatnonzero(size[group] > 1)
+        group = np.cumsum(new) - 1  # of what was tied
+        still = np.bincount(group)[group] > 1
+        tied, group = tied[still], group[still]
         if not len(tied):
             break
         key = words[order[tied] + shift].astype(np.uint64)
-        o = np.lexsort((key, group[tied]))
-        order[tied] = order[tied][o]
-        key, g = key[o], group[tied]
-        new[tied] |= np.append(True, (key[1:] != key[:-1]) | (g[1:] != g[:-1]))
+        o = np.argsort(key)
+        key = key[o]
+        place = np.empty(len(o), np.int64)  # of the key among all keys
+        place[o] = np.cumsum(np.append(False, key[1:] != key[:-1]))
+        place += group * len(o)
+        o = np.argsort(place)
+        order[tied] = order[tied[o]]
+        place = place[o]
+        new = np.append(True, place[1:] != place[:-1])
     return order
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of ``text`` (bytes, the last of them smaller than all others) by two-stage sorting.
+    """Suffixes of ``text`` (bytes, none smaller than the last of them) by two-stage sorting.
 
     Suffixes that are smaller than their successors are sorted directly, to
     ``depth`` bytes; the others are induced by one scan over the buckets of
     first bytes, in which they stand before the direct ones.
     """
     n = len(text)
-    t = text.astype(np.int16)
-    # smaller: by the first byte of the run that differs
-    change = np.flatnonzero(t[1:] != t[:-1])
-    run = np.searchsorted(change, np.arange(n - 1))
-    smaller = np.zeros(n, dtype=bool)
-    inside = run < len(change)
-    at = change[np.minimum(run, max(0, len(change) - 1))] if len(change) else np.zeros(n - 1, int)
-    smaller[:-1] = inside & (t[at] < t[np.minimum(at + 1, n - 1)])
-    smaller[-1] = True  # the end sorts first of all
-    direct = _direct_order(text, np.flatnonzero(smaller), depth)
-    heads = np.searchsorted(t[direct], np.arange(257))  # direct suffixes by first byte
+    # smaller: by the first byte of the run that differs; the last run holds the end, which sorts first of all
+    change = np.flatnonzero(text[1:] != text[:-1])
+    ends = np.append(change, n - 1)
+    smaller = np.repeat(np.append(text[change] < text[change + 1], True), np.diff(ends, prepend=-1))
+    direct = _direct_order(text, np.flatnonzero(smaller).astype(np.int32), depth)
+    heads = np.searchsorted(text[direct], np.arange(256)).tolist() + [len(direct)]  # direct suffixes by first byte
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
     out = []
     for c in range(256):
-        front = np.concatenate(waiting[c]) if waiting[c] else np.empty(0, np.int64)
+        front = np.concatenate(waiting[c]) if waiting[c] else np.empty(0, np.int32)
         layer = front
         parts = [front]
         while len(layer):  # induced within the same bucket
             p = layer[layer > 0] - 1
-            layer = p[(t[p] == c) & ~smaller[p]]
+            layer = p[(text[p] == c) & ~smaller[p]]
             parts.append(layer)
         bucket = np.concatenate([*parts, direct[heads[c] : heads[c + 1]]])
         if not len(bucket):
             continue
         out.append(bucket)
         p = bucket[bucket > 0] - 1
-        p = p[(t[p] > c) & ~smaller[p]]
+        p = p[(text[p] > c) & ~smaller[p]]
         if len(p):
-            p = p[np.argsort(t[p], kind="stable")]
-            cuts = np.flatnonzero(np.diff(t[p])) + 1
+            p = p[np.argsort(text[p], kind="stable")]
+            cuts = np.flatnonzero(np.diff(text[p])) + 1
             for piece in np.split(p, cuts):
-                waiting[t[piece[0]]].append(piece)
-    return np.concatenate(out).astype(np.int64)
+                waiting[text[piece[0]]].append(piece)
+    return np.concatenate(out)
 
 
 def common_prefix_at_least(text: np.ndarray, order: np.ndarray, width: int) -> np.ndarray:
     """Whether each suffix shares ``width`` bytes with the one before it in ``order``."""
     padded = np.concatenate([text, np.zeros(width + 8, np.uint8)])
-    words = np.ndarray(len(padded) - 7, dtype="<u8", buffer=padded.tobytes(), strides=(1,))
+    words = np.ndarray(len(padded) - 7, dtype="<u8", buffer=padded.data, strides=(1,))
     same = np.zeros(len(order), dtype=bool)
-    left = np.arange(1, len(order))
+    left = np.arange(1, len(order), dtype=np.int32)
     for shift in [*range(0, width - 8, 8), width - 8]:
         left = left[words[order[left] + shift] == words[order[left - 1] + shift]]
     same[left] = True
     return same
 
 
-def repeats(contexts: list[bytes], text: np.ndarray, first: np.ndarray, width: int) -> list[np.ndarray]:
-    """For each context, the starts in it of ``width``-byte strings that start earlier elsewhere.
+def repeats(raw: np.ndarray, lengths: np.ndarray, text: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(context, start in it) of the ``width``-byte strings of contexts that start earlier elsewhere.
 
+    ``raw`` holds the contexts, each followed by a byte 0 that is not part of it.
     ``text`` numbers the contexts' texts in document order and ``first`` says where
     in it a context starts; contexts of one text may overlap.
     """
-    lengths = np.array([len(c) for c in contexts])
-    # a context ends in a byte that no other can continue
-    raw = np.frombuffer(b"\x00".join([*contexts, b""]), np.uint8)
-    begin = np.cumsum(lengths + 1) - lengths - 1
+    begin = (np.cumsum(lengths + 1) - lengths - 1).astype(np.int32)
+    owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths + 1)
     order = suffix_array(raw, width)
-    owner = np.repeat(np.arange(len(contexts)), lengths + 1)
-    room = np.repeat(begin + lengths, lengths + 1) - np.arange(len(raw))
-    order = order[room[order] >= width]
+    room = (begin + lengths.astype(np.int32))[owner] - np.arange(len(raw), dtype=np.int32) >= width
+    order = order[room[order]]
     if not len(order):
-        return [np.empty(0, np.int64)] * len(contexts)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     same = common_prefix_at_least(raw, order, width)
-    group = np.cumsum(~same) - 1
+    group = np.cumsum(~same, dtype=np.int32) - 1
     o = owner[order]
-    place = (text[o] << 40) + first[o] + order - begin[o]
+    inner = order - begin[o]
+    place = (text[o] << 40) + first[o] + inner
     least = np.minimum.reduceat(place, np.flatnonzero(~same))
-    again = np.sort(order[place > least[group]])
-    cuts = np.searchsorted(owner[again], np.arange(len(contexts) + 1))
-    return [again[cuts[i] : cuts[i + 1]] - begin[i] for i in range(len(contexts))]
+    again = place > least[group]
+    return o[again], inner[again]
 
 
 # --------------------------------------------------------------------- anchors
@@ -257,8 +261,9 @@ def _opened(batch: pa.RecordBatch, i: int) -> tuple[int, np.ndarray, np.ndarray,
     return batch.column("block")[i].as_py(), ids, sizes, data
 
 
-FOUND = "kind byte, key long, context long, doc_id long, block long, text int, pos long, first long, last long"
-_FOUND_TYPES = [pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+#: context and other: a 128-bit digest of the context
+FOUND = "kind byte, key long, context long, other long, doc_id long, block long, text int, pos long, first long, last long"
+_FOUND_TYPES = [pa.int8(), *[pa.int64()] * 5, pa.int32(), *[pa.int64()] * 3]
 _FOUND_NAMES = [f.split()[0] for f in FOUND.split(", ")]
 MARK, ANCHOR, NEED = 0, 1, 2
 
@@ -267,34 +272,34 @@ def _rows(*columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _FOUND_TYPES, strict=True)], names=_FOUND_NAMES)
 
 
-def _spans(block: int, text: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch | None:
+def _spans(block: np.ndarray, text: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[pa.RecordBatch]:
     """MARK rows of the union of spans."""
     if not len(text):
-        return None
-    o = np.lexsort((first, text))
-    text, first, last = text[o], first[o], last[o]
-    big = int(last.max()) + 1
-    high = np.maximum.accumulate(last + text * big) - text * big
-    new = np.append(True, (text[1:] != text[:-1]) | (first[1:] > high[:-1]))
-    at = np.flatnonzero(new)
+        return
+    o = np.lexsort((first, text, block))
+    block, text, first, last = block[o], text[o], first[o], last[o]
+    apart = np.append(True, (text[1:] != text[:-1]) | (block[1:] != block[:-1]))
+    step = (np.cumsum(apart) - 1) * (int(last.max()) + 1)  # lifts each text above those before it
+    high = np.maximum.accumulate(last + step) - step
+    at = np.flatnonzero(apart | np.append(True, first[1:] > high[:-1]))
     stop = np.append(at[1:], len(text)) - 1
     n = len(at)
     zero = np.zeros(n, np.int64)
-    key = text[at] * 0x9E3779B1 + block  # only spreads the rows
-    return _rows(np.full(n, MARK, np.int8), key, zero, zero, np.full(n, block), text[at].astype(np.int32), zero, first[at], high[stop])
+    key = text[at] * 0x9E3779B1 + block[at]  # only spreads the rows
+    yield _rows(np.full(n, MARK, np.int8), key, zero, zero, zero, block[at], text[at].astype(np.int32), zero, first[at], high[stop])
 
 
-def _once(block, ids, begin, text, key, context, at, low, high) -> Iterator[pa.RecordBatch]:
-    """ANCHOR rows of the first of equal (key, context) in a block, marks of the others."""
-    o = np.lexsort((at, context, key))
+def _once(block, ids, begin, text, key, digest, at, low, high) -> Iterator[pa.RecordBatch]:
+    """ANCHOR rows of the first of equal (key, digest) in a block, marks of the others."""
+    context, other = digest[:, 0], digest[:, 1]
+    o = np.lexsort((at, other, context, key))
     again = np.zeros(len(at), bool)
-    again[o[1:]] = (key[o][1:] == key[o][:-1]) & (context[o][1:] == context[o][:-1])
+    again[o[1:]] = (key[o][1:] == key[o][:-1]) & (digest[o][1:] == digest[o][:-1]).all(1)
     b = begin[text]
-    if again.any():
-        yield _spans(block, text[again], (low - b)[again], (high - b)[again])
+    yield from _spans(np.full(again.sum(), block), text[again], (low - b)[again], (high - b)[again])
     k = ~again
     yield _rows(
-        np.full(k.sum(), ANCHOR, np.int8), key[k].view(np.int64), context[k].view(np.int64), ids[text[k]],
+        np.full(k.sum(), ANCHOR, np.int8), key[k].view(np.int64), context[k].view(np.int64), other[k].view(np.int64), ids[text[k]],
         np.full(k.sum(), block), text[k].astype(np.int32), (at - b)[k], (low - b)[k], (high - b)[k],
     )
 
@@ -309,15 +314,27 @@ class _Find:
         for batch in batches:
             for i in range(batch.num_rows):
                 block, ids, sizes, data = _opened(batch, i)
-                at, text, key = anchors(data, sizes, self.width, self.gram)
+                begin = np.cumsum(sizes) - sizes
+                found, done = [], 0
+                for stop in _pieces(np.arange(1, len(sizes) + 1), np.append(0, np.cumsum(sizes)), RUN_BYTES):
+                    first, last = int(begin[done]), int(begin[stop - 1] + sizes[stop - 1])
+                    own = anchors(data[first:last], sizes[done:stop], self.width, self.gram)
+                    found.append((own[0] + first, own[1] + done, own[2]))
+                    done = stop
+                at, text, key = (np.concatenate(x) for x in zip(*found, strict=True))
                 if not len(at):
                     continue
-                begin = np.cumsum(sizes) - sizes
                 low, high = reach_of(at, begin[text], begin[text] + sizes[text], self.width, self.gram)
-                view, digest = memoryview(data), xxhash.xxh3_64_intdigest
-                context = np.fromiter((digest(view[a:b], b - a) for a, b in zip(low.tolist(), high.tolist(), strict=True)), np.uint64, len(at))
-                context ^= (at - low).astype(np.uint64)
-                yield from _once(block, ids, begin, text, key, context, at, low, high)
+                view, of = memoryview(data), xxhash.xxh3_128_digest
+                each = zip(low.tolist(), high.tolist(), (at - low).tolist(), strict=True)
+                digest = np.frombuffer(b"".join([of(view[a:b], c) for a, b, c in each]), np.uint64).reshape(-1, 2)
+                yield from _once(block, ids, begin, text, key, digest, at, low, high)
+
+
+def _heads_place(new: np.ndarray, *place: np.ndarray) -> np.ndarray:
+    """Whether each row has the place of the first row of its run, as contexts of one text overlap."""
+    head = np.flatnonzero(new)[np.cumsum(new) - 1]
+    return np.all([p == p[head] for p in place], axis=0)
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,12 +354,12 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         if carry is not None:
             c = {n: np.append(carry[n], v) for n, v in c.items()}
-        key, context = c["key"], c["context"]
-        new = np.append(True, (key[1:] != key[:-1]) | (context[1:] != context[:-1]))
+        key = c["key"]
+        new = np.append(True, np.any([c[n][1:] != c[n][:-1] for n in ("key", "context", "other")], axis=0))
         run = np.flatnonzero(new)
         near = key[run][1:] == key[run][:-1]
         need = np.append(carried if carry is not None else False, near) | np.append(near, False)
-        rest = np.flatnonzero(~new)
+        rest = np.flatnonzero(~new & ~_heads_place(new, c["block"], c["text"], c["pos"]))
         if len(rest):
             yield _rows(np.full(len(rest), MARK, np.int8), *[c[n][rest] for n in _FOUND_NAMES[1:]])
         carry, carried = {n: v[run[-1:]] for n, v in c.items()}, bool(need[-1])
@@ -374,10 +391,11 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 SEGMENTS = 8  # runs of start positions whose common bytes are looked up before sorting
+HOT_SEGMENTS = 4  # of the contexts of a hot anchor, which take a shuffled row a run
 
 
-def _runs(width: int, gram: int) -> list[tuple[int, int]]:
-    edges = np.linspace(0, width - gram + 1, SEGMENTS + 1).astype(int).tolist()
+def _runs(width: int, gram: int, number: int) -> list[tuple[int, int]]:
+    edges = np.linspace(0, width - gram + 1, number + 1).astype(int).tolist()
     return list(zip(edges, edges[1:], strict=False))
 
 
@@ -394,118 +412,143 @@ def _cores(at: int, size: int, width: int, gram: int, runs: list[tuple[int, int]
             yield i, at - a, at - b + 1 + width, max(a, low), min(b - 1, high)
 
 
-def shorten(rows: list[tuple], width: int, gram: int) -> list[tuple]:
-    """Contexts cut down to the strings that can have an equal in their group.
+def shorten(key: np.ndarray, at: np.ndarray, sizes: np.ndarray, raw: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last + 1) byte of what can have an equal within its group in each of some contexts; 0, 0: nothing.
 
-    Rows are (key, doc_id, block, text, first, at, bytes); the result has no ``at``.
+    ``raw`` holds the contexts one after another. The bytes in common are compared
+    by a hash; equal hashes of different bytes only leave more to the sort.
     """
-    runs, digest = _runs(width, gram), xxhash.xxh3_64_intdigest
-    seen: dict[tuple, int] = {}
-    cores = []
-    for key, _, _, _, _, at, data in rows:
-        own = []
-        for i, x, y, low, high in _cores(at, len(data), width, gram, runs):
-            core = (key, i, digest(data[x:y]))
-            seen[core] = seen.get(core, 0) + 1
-            own.append((core, low, high))
-        cores.append(own)
-    out = []
-    for (key, doc, block, text, first, at, data), own in zip(rows, cores, strict=True):
-        live = [(a, b) for core, a, b in own if seen[core] > 1]
-        if live:
-            begin, end = at - max(b for _, b in live), at - min(a for a, _ in live) + width
-            out.append((key, doc, block, text, first + begin, data[begin:end]))
-    return out
-
-
-CORE = "key long, block long, text int, pos long, first long, last long"
+    ends = np.append(0, np.cumsum(sizes))
+    low, high = np.maximum(0, at + width - sizes), np.minimum(at, width - gram)  # possible b
+    hashes, who, least, most, done = [], [], [], [], 0
+    for stop in _pieces(np.arange(1, len(sizes) + 1), ends, BATCH_BYTES):
+        own = raw[ends[done] : ends[stop]]
+        with np.errstate(over="ignore"):
+            total = np.zeros(len(own) + 1, np.uint64)
+            np.cumsum(BYTES[own] * powers(BASE, len(own))[:-1], out=total[1:])
+            back = powers(INVERSE, len(own))
+            for i, (a, b) in enumerate(_runs(width, gram, SEGMENTS)):
+                has = done + np.flatnonzero((a <= high[done:stop]) & (b > low[done:stop]))
+                x = (ends[has] - ends[done]) + at[has] - a
+                y = x + a - b + 1 + width
+                hashes.append(mix((total[y] - total[x]) * back[x] ^ mix(key[has].view(np.uint64) + np.uint64(i))))
+                who.append(has)
+                least.append(np.maximum(a, low[has]))
+                most.append(np.minimum(b - 1, high[has]))
+        done = stop
+    who, least, most = map(np.concatenate, (who, least, most))
+    _, kind, many = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+    live = many[kind] > 1
+    far, near = np.full(len(at), -1), np.full(len(at), width)
+    np.maximum.at(far, who[live], most[live])
+    np.minimum.at(near, who[live], least[live])
+    some = far >= 0
+    return np.where(some, at - far, 0), np.where(some, at - near + width, 0)
 
 
 class _HotCores:
-    """For the contexts that a block's ``wanted`` list names: a row for each run of strings, by its common bytes."""
+    """The strings of each run of each context, keyed by the bytes they have in common, as contexts of their own."""
 
     def __init__(self, width: int, gram: int):
         self.width, self.gram = width, gram
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs, digest = _runs(self.width, self.gram), xxhash.xxh3_64_intdigest
+        runs, digest = _runs(self.width, self.gram, HOT_SEGMENTS), xxhash.xxh3_64_intdigest
         for batch in batches:
-            for i in range(batch.num_rows):
-                block, _, sizes, data = _opened(batch, i)
-                view, begin = memoryview(data), np.cumsum(sizes) - sizes
-                w = batch.column("wanted")[i].values
-                out: list[list[int]] = [[], [], [], [], []]
-                for key, text, pos, first, last in zip(*(w.field(n).to_pylist() for n in ("key", "text", "pos", "first", "last")), strict=True):
-                    base = int(begin[text]) + first
-                    for run, x, y, low, high in _cores(pos - first, last - first, self.width, self.gram, runs):
-                        core = digest(view[base + x : base + y], (key + run) & (2**64 - 1))
-                        for column, value in zip(out, (core, text, pos, pos - high, pos - low + self.width), strict=True):
-                            column.append(value)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.array(out[0], np.uint64).view(np.int64)), pa.array(np.full(len(out[0]), block)),
-                        pa.array(out[1], pa.int32()), *[pa.array(c, pa.int64()) for c in out[2:]],
-                    ],
-                    names=["key", "block", "text", "pos", "first", "last"],
-                )
+            row, key, at, first, data = [], [], [], [], []
+            for i, (k, f, a, x) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("key", "first", "at", "bytes")), strict=True)):
+                for run, low_byte, end, low, high in _cores(a, len(x), self.width, self.gram, runs):
+                    row.append(i)
+                    key.append(digest(x[low_byte:end], (k + run) & (2**64 - 1)))
+                    at.append(high)
+                    first.append(f + a - high)
+                    data.append(x[a - high : a - low + self.width])
+            rows = batch.take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.array(key, np.uint64).view(np.int64)), *[rows.column(n) for n in ("doc_id", "block", "text")], pa.array(first, pa.int64()), pa.array(at, pa.int64()), pa.array(data, pa.binary())],
+                names=["key", "doc_id", "block", "text", "first", "at", "bytes"],
+            )
 
 
 class _HotStrings:
-    """The strings of the regions that a block's ``wanted`` list names, as anchors of their own."""
+    """The strings of contexts as anchors of their own: the first of equal ones of a batch, marks of the others."""
 
     def __init__(self, width: int):
         self.width = width
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                block, ids, sizes, data = _opened(batch, i)
-                view, begin = memoryview(data), np.cumsum(sizes) - sizes
-                w = batch.column("wanted")[i].values
-                text, first, last = (w.field(n).to_numpy() for n in ("text", "first", "last"))
-                many = last - first - self.width + 1
-                inner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                at = np.unique(np.repeat(begin[text] + first, many) + inner)  # regions overlap
-                digests = b"".join(xxhash.xxh3_128_digest(view[a : a + self.width]) for a in at.tolist())
-                h = np.frombuffer(digests, np.uint64).reshape(-1, 2)
-                owner = np.searchsorted(np.cumsum(sizes), at, side="right")
-                yield from _once(block, ids, begin, owner, h[:, 0].copy(), h[:, 1].copy(), at, at, at + self.width)
+            contexts = batch.column("bytes").to_pylist()
+            many = np.array([len(x) - self.width + 1 for x in contexts])
+            at = np.repeat(np.arange(len(many)), many)
+            doc, block, text, first = (batch.column(n).to_numpy()[at] for n in ("doc_id", "block", "text", "first"))
+            pos = first + np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+            digests = b"".join([xxhash.xxh3_128_digest(x[k : k + self.width]) for x in contexts for k in range(len(x) - self.width + 1)])
+            h = np.frombuffer(digests, np.uint64).reshape(-1, 2)
+            o = np.lexsort((pos, text, block, doc, h[:, 1], h[:, 0]))
+            h, doc, block, text, pos = h[o], doc[o], block[o], text[o], pos[o]
+            new = np.append(True, (h[1:] != h[:-1]).any(1))
+            again = ~new & ~_heads_place(new, block, text, pos)
+            yield from _spans(block[again], text[again].astype(np.int64), pos[again], pos[again] + self.width)
+            k = new
+            n = int(k.sum())
+            yield _rows(
+                np.full(n, ANCHOR, np.int8), h[k, 0].view(np.int64), h[k, 1].view(np.int64), np.zeros(n, np.int64), doc[k],
+                block[k], text[k], pos[k], pos[k], pos[k] + self.width,
+            )
+
+
+def _pieces(cuts: np.ndarray, ends: np.ndarray, most: int) -> Iterator[int]:
+    """Of the rows at which groups end, those at which a piece of up to ``most`` bytes, or of one group, ends."""
+    done = 0  # bytes
+    for k, cut in enumerate(cuts):
+        if k + 1 == len(cuts) or ends[cuts[k + 1]] - done > most:
+            done = ends[cut]
+            yield int(cut)
 
 
 class _Sort:
-    """Suffix sorting of whole anchor groups; rows arrive sorted by key and place."""
-
-    def __init__(self, width: int, gram: int, batch: int):
-        self.width, self.gram, self.batch = width, gram, batch
-
-    def marks(self, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        rows.sort(key=lambda r: r[1:5])
-        texts = np.cumsum([False, *(a[1:4] != b[1:4] for a, b in zip(rows, rows[1:], strict=False))])
-        found = repeats([r[5] for r in rows], texts, np.array([r[4] for r in rows]), self.width)
-        many = [len(f) for f in found]
-        if sum(many):
-            at = np.repeat(np.arange(len(rows)), many)
-            start = np.concatenate(found) + np.array([r[4] for r in rows])[at]
-            block, text = np.array([r[2] for r in rows])[at], np.array([r[3] for r in rows])[at]
-            for b in np.unique(block):
-                k = block == b
-                yield _spans(int(b), text[k].astype(np.int64), start[k], start[k] + self.width)
+    """Suffix sorting of whole anchor groups; rows arrive sorted by key."""
+
+    def __init__(self, width: int, gram: int, most: int = BATCH_BYTES):
+        self.width, self.gram, self.most = width, gram, most
+
+    def marks(self, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        data = rows.column("bytes")
+        edge = np.frombuffer(data.buffers()[1], np.int32)[data.offset :][: len(data) + 1].astype(np.int64)
+        raw = np.frombuffer(data.buffers()[2], np.uint8)[edge[0] : edge[-1]]
+        c = {n: rows.column(n).to_numpy() for n in ("key", "doc_id", "block", "text", "first", "at")}
+        x, y = shorten(c["key"], c["at"], np.diff(edge), raw, self.width, self.gram)
+        begin = edge[:-1] - edge[0] + x
+        kept = np.flatnonzero(y > x)
+        if not len(kept):
+            return
+        kept = kept[np.lexsort((c["first"][kept], c["text"][kept], c["block"][kept], c["doc_id"][kept]))]
+        doc, block, text = (c[n][kept] for n in ("doc_id", "block", "text"))
+        number = np.cumsum(np.append(False, (doc[1:] != doc[:-1]) | (block[1:] != block[:-1]) | (text[1:] != text[:-1])))
+        size, first = (y - x)[kept], c["first"][kept] + x[kept]
+        from_ = np.repeat(begin[kept] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        made = np.zeros(size.sum() + len(size), np.uint8)  # each context, then a 0
+        made[np.arange(size.sum()) + np.repeat(np.arange(len(size)), size)] = raw[from_]
+        owner, at = repeats(made, size, number, first, self.width)
+        start = first[owner] + at
+        yield from _spans(block[owner], text[owner].astype(np.int64), start, start + self.width)
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []
-        rows: list[tuple] = []
+        held = None  # the last group, which the next batch may continue
         for batch in batches:
-            for row in zip(*[batch.column(n).to_pylist() for n in ("key", "doc_id", "block", "text", "first", "at", "bytes")], strict=True):
-                if group and row[0] != group[-1][0]:
-                    rows += shorten(group, self.width, self.gram)
-                    group = []
-                    if len(rows) >= self.batch:
-                        yield from self.marks(rows)
-                        rows = []
-                group.append(row)
-        rows += shorten(group, self.width, self.gram)
-        if rows:
-            yield from self.marks(rows)
+            rows = batch if held is None else pa.concat_batches([held, batch])
+            key = rows.column("key").to_numpy()
+            cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
+            start = 0
+            if len(cuts):
+                size = pa.compute.binary_length(rows.column("bytes")).to_numpy()
+                for stop in _pieces(cuts, np.append(0, np.cumsum(size, dtype=np.int64)), self.most):
+                    yield from self.marks(rows.slice(start, stop - start))
+                    start = stop
+            held = rows.slice(start)
+        if held is not None:
+            yield from self.marks(held)
 
 
 KEPT = "doc_id long, n_bytes long, kept binary, spans array<struct<first:bigint,last:bigint>>"
@@ -549,9 +592,9 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _met(found: DataFrame, name: str) -> DataFrame:
-    order = ("key", "context", "doc_id", "block", "text", "pos")
-    return materialise(map_arrow(found.repartition("key").sortWithinPartitions(*order), _meet, FOUND), name)
+def _met(found: DataFrame) -> DataFrame:
+    order = ("key", "context", "other", "doc_id", "block", "text", "pos")
+    return map_arrow(found.repartition("key").sortWithinPartitions(*order), _meet, FOUND)
 
 
 def _by_block(rows: DataFrame, name: str, *columns: str) -> DataFrame:
@@ -562,30 +605,34 @@ def _by_block(rows: DataFrame, name: str, *columns: str) -> DataFrame:
 PLACE = ("key", "text", "pos", "first", "last")
 
 
-def _over(rows: DataFrame, hot: int, name: str) -> tuple[DataFrame, DataFrame, bool]:
-    """``rows`` whose key occurs at most ``hot`` times, the others, and whether there are others."""
-    many = materialise(rows.groupBy("key").count().where(F.col("count") > hot).select("key"), name)
-    return rows.join(sized(many), "key", "left_anti"), rows.join(sized(many), "key"), not many.isEmpty()
+def _counted(rows: DataFrame, least: int, name: str) -> DataFrame:
+    """(key, many) of the keys that occur at least ``least`` times; the numbers are summed in part before the shuffle."""
+    return materialise(rows.groupBy("key").agg(F.count("*").alias("many")).where(F.col("many") >= least), name)
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, kept (the remaining bytes) and spans (the removed runs) of every document."""
     blocks = materialise(map_arrow(docs.select("doc_id", "text"), _Blocks(BLOCK_BYTES), BLOCK_SCHEMA), "blocks")
-    met = _met(map_arrow(blocks, _Find(width, gram), FOUND), "met")
+    met = materialise(_met(map_arrow(blocks, _Find(width, gram), FOUND)), "met")
     spans = met.where(F.col("kind") == MARK)
-    need, large, any_large = _over(met.where(F.col("kind") == NEED).select("block", *PLACE), hot, "hot_keys")
-    if any_large:
-        cores = materialise(map_arrow(blocks.join(_by_block(large, "wanted", *PLACE), "block"), _HotCores(width, gram), CORE), "hot_cores")
-        _, cores, _ = _over(cores, 1, "hot_live")
-        few, large, any_large = _over(materialise(cores, "hot_runs"), hot, "hot_runs_keys")
-        need = need.unionByName(few)
-        if any_large:
-            strings = map_arrow(blocks.join(_by_block(large, "wanted", *PLACE), "block"), _HotStrings(width), FOUND)
-            spans = spans.unionByName(_met(strings, "hot_met").where(F.col("kind") == MARK))
-    contexts = map_arrow(blocks.join(_by_block(need, "wanted", *PLACE), "block"), _cut_out, CONTEXT)
-    sorted_ = contexts.repartition("key").sortWithinPartitions("key", "doc_id", "block", "text", "first")
-    more = materialise(map_arrow(sorted_, _Sort(width, gram, BATCH), FOUND), "more")
-    spans = spans.unionByName(more)
+    need = met.where(F.col("kind") == NEED).select("block", *PLACE)
+
+    def cut(wanted: DataFrame) -> DataFrame:
+        return map_arrow(blocks.join(_by_block(wanted, "wanted", *PLACE), "block"), _cut_out, CONTEXT)
+
+    large = _counted(need, hot + 1, "hot_keys")
+    if large.isEmpty():
+        contexts = cut(need)
+    else:
+        contexts = cut(need.join(sized(large), "key", "left_anti"))
+        whole = cut(need.join(sized(large), "key").drop("many"))
+        cores = materialise(map_arrow(whole, _HotCores(width, gram), CONTEXT), "hot_cores")
+        live = cores.join(sized(_counted(cores, 2, "hot_live")), "key")
+        contexts = contexts.unionByName(live.where(F.col("many") <= hot).drop("many"))
+        strings = map_arrow(live.where(F.col("many") > hot).drop("many"), _HotStrings(width), FOUND)
+        spans = spans.unionByName(_met(strings).where(F.col("kind") == MARK))
+    sorted_ = contexts.repartition("key").sortWithinPartitions("key")
+    spans = spans.unionByName(map_arrow(sorted_, _Sort(width, gram), FOUND))
     marks = _by_block(spans, "marks", "text", "first", "last")
     return map_arrow(blocks.join(marks, "block", "left"), _strip, KEPT)
 
