@@ -26,12 +26,16 @@ Of two members a and b with the same first partner c, the intersection is at mos
 min(|a & c|, |b & c|) plus the shingles outside c that they share. So they are
 compared only if the minimum alone allows a link, or if a join of the shingles
 outside c shows that they share enough of these: a family of loose copies of one
-text is not paired off. Verification is the exact intersection of the sets.
+text is not paired off. Before texts are moved for these pairs, bitmaps of the sets
+bound their intersections from above and rule out most. Verification is the exact
+intersection of the sets.
 
 Defined results: null and empty texts have an empty set, link with nothing and
 are their own component; rows that share a doc_id count as one document; a null
 doc_id gives a null component; an empty table gives an empty table; other
-columns are ignored.
+columns are ignored. Sets are 64-bit hashes of shingles, made of 64-bit hashes of
+words; copies are found by 128 bits. A very long text is shingled alone, in some 100
+bytes of memory a byte.
 """
 
 from __future__ import annotations
@@ -242,6 +246,59 @@ def compared(docs: DataFrame, pairs: DataFrame, threshold: int = THRESHOLD, widt
     return map_arrow(both.select("a", "b", "ta", "tb"), _Compare(threshold, width, outside), COMPARED)
 
 
+def bitmap(values: np.ndarray) -> bytes:
+    """The last bits of some hashes, eight places a hash or more; a power of two of them."""
+    size = max(64, 1 << int(8 * len(values) - 1).bit_length()) if len(values) else 64
+    places = np.zeros(size, dtype=bool)
+    places[(values & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(places).tobytes()
+
+
+def most_common(a: bytes, n_a: int, b: bytes, n_b: int) -> int:
+    """A number that the intersection of two sets, given by bitmap and size, does not exceed."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_or.reduce(z.reshape(-1, size)) for z in (x, y))
+    # a place that only one of them has, holds a member of this one alone
+    return min(n_a - int(np.bitwise_count(x & ~y).sum()), n_b - int(np.bitwise_count(y & ~x).sum()))
+
+
+class _Bitmaps:
+    def __init__(self, width: int):
+        self.width = width
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, texts in _texts(batch):
+                sizes, values, _ = shingle_sets(texts, self.width)
+                own = [bitmap(v) for v in np.split(values, np.cumsum(sizes)[:-1])]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[rows], pa.array(sizes), pa.array(own, pa.binary())], names=["doc_id", "n", "bits"])
+
+
+class _Possible:
+    """Pairs whose bitmaps allow a link."""
+
+    def __init__(self, threshold: int):
+        self.threshold = threshold
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, high = self.threshold, 100 + self.threshold
+        for batch in batches:
+            columns = [batch.column(n).to_pylist() for n in ("bits_a", "n_a", "bits_b", "n_b")]
+            keep = [high * most_common(x, m, y, n) >= low * (m + n) for x, m, y, n in zip(*columns, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def possible(docs: DataFrame, pairs: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH) -> DataFrame:
+    """Of ``pairs`` (materialised), those that bitmaps of the sets, a byte a shingle, do not rule out."""
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    some = docs.select("doc_id", "text").join(sized(materialise(ids, "compared_ids")), "doc_id")
+    maps = materialise(map_arrow(some, _Bitmaps(width), "doc_id long, n long, bits binary"), "bitmaps")
+    a, b = (maps.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
+    both = b.join(sized(pairs), "b").join(a, "a").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+    return map_arrow(both, _Possible(threshold), "a long, b long").distinct()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of ``edges`` (a, b) reaches.
 
@@ -358,7 +415,8 @@ def links(docs: DataFrame, folded: DataFrame, heat: np.ndarray, threshold: int =
     shared = shared.groupBy("a", "b").agg(F.count_distinct("x").alias("k"), F.least(F.max("both_a"), F.max("both_b")).alias("i"), F.min(F.col("n_a") + F.col("n_b")).alias("s"))
     more = shared.where(high * (F.col("i") + F.col("k")) >= low * F.col("s")).select("a", "b")
     across = materialise(wanted.unionByName(more).distinct().join(stars, ["a", "b"], "left_anti"), "across")
-    second = compared(docs, across, threshold, width).where("linked").select("a", "b").distinct()
+    left_over = materialise(possible(docs, across, threshold, width), "possible")
+    second = compared(docs, left_over, threshold, width).where("linked").select("a", "b").distinct()
     return materialise(found.unionByName(second), "all_links")
 
 
