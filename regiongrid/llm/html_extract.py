@@ -213,7 +213,7 @@ def features_of(blocks: list[Block]) -> list[list[str]]:
             above = elements[-2]
             fs |= {f"path={above[0]}>{leaf}", f"path={above[0]}{'.' * (len(above) > 1)}>{leaf}"}
         fs |= {f"top={e[0]}{'.' * (len(e) > 1)}" for e in elements[:1]} | {f"plain={e[0]}" for e in elements if len(e) == 1}
-        where = "in" if best in chain else "by" if parent in chain else "out"
+        where = "none" if best < 0 else "in" if best in chain else "by" if parent in chain else "out"
         sentence = text[-1] in ".!?"
         fs |= {f"dense={where}", f"dense={where},leaf={leaf}", f"dense={where},words={lengths[i]},{sentence}"}
         fs.add("head=none" if head < 0 else f"head={'at' if i == head else 'after' if i > head else 'before'}")
@@ -256,7 +256,7 @@ class Crf:
             out.append(y)
         return out[::-1]
 
-    def fit(self, pages: list[tuple[list[list[str]], list[int]]], epochs: int = 12, rate: float = 0.3, decay: float = 1e-4) -> Crf:
+    def fit(self, pages: list[tuple[list[list[str]], list[int]]], epochs: int = 16, rate: float = 0.3, decay: float = 1e-4) -> Crf:
         """Stochastic ascent (AdaGrad) of the conditional log-likelihood."""
         for rows, _ in pages:
             for fs in rows:
@@ -264,35 +264,56 @@ class Crf:
                     self.index.setdefault(f, len(self.index))
         self.w = np.zeros((len(self.index), 2))
         seen_w, seen_t = np.full_like(self.w, 1e-2), np.full_like(self.t, 1e-2)
-        coded = [([np.array([self.index[f] for f in fs]) for fs in rows], np.array(y)) for rows, y in pages if rows]
+        coded = []
+        for rows, y in pages:
+            if rows:
+                flat = np.array([self.index[f] for fs in rows for f in fs])
+                size = np.array([len(fs) for fs in rows])
+                coded.append((flat, np.cumsum(size) - size, np.repeat(np.arange(len(rows)), size), *np.unique(flat, return_inverse=True), np.array(y)))
         order = random.Random(3)
         for _ in range(epochs):
             order.shuffle(coded)
-            for rows, y in coded:
-                p = np.array([self.w[i].sum(0) for i in rows])
-                n = len(p)
-                forward, backward = p.copy(), np.zeros_like(p)
-                for k in range(1, n):
-                    forward[k] += np.logaddexp(forward[k - 1][0] + self.t[0], forward[k - 1][1] + self.t[1])
-                for k in range(n - 2, -1, -1):
-                    into = p[k + 1] + backward[k + 1]
-                    backward[k] = np.logaddexp(self.t[:, 0] + into[0], self.t[:, 1] + into[1])
-                total = np.logaddexp(*forward[-1])
-                error = np.eye(2)[y] - np.exp(forward + backward - total)
-                g = -decay * self.t
-                for k in range(1, n):
-                    g = g - np.exp(forward[k - 1][:, None] + self.t + (p[k] + backward[k])[None] - total)
-                    g[y[k - 1], y[k]] += 1
+            for flat, starts, owner, own, place, y in coded:
+                share, moves = marginals(np.add.reduceat(self.w[flat], starts), self.t)
+                g = -moves - decay * self.t
+                np.add.at(g, (y[:-1], y[1:]), 1)
                 seen_t += g * g
                 self.t += rate * g / np.sqrt(seen_t)
-                for i, e in zip(rows, error, strict=True):
-                    e = e - decay * self.w[i]
-                    seen_w[i] += e * e
-                    self.w[i] += rate * e / np.sqrt(seen_w[i])
+                error = (y == 0) - share[:, 0]
+                e = np.bincount(place, weights=error[owner], minlength=len(own))
+                g = np.stack([e, -e], 1) - decay * self.w[own]
+                seen_w[own] += g * g
+                self.w[own] += rate * g / np.sqrt(seen_w[own])
         return self
 
 
-def labelled_pages(number: int = 700, seed: int = 5) -> list[tuple[list[list[str]], list[int]]]:
+def marginals(p: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of the labels of each block, and expected numbers of the transitions, by forward and backward sums."""
+    e = np.exp(p - p.max(1, keepdims=True)).tolist()
+    (t00, t01), (t10, t11) = np.exp(t).tolist()
+    a0, a1 = e[0]
+    forward = [(a0 / (a0 + a1), a1 / (a0 + a1))]
+    for e0, e1 in e[1:]:
+        a0, a1 = forward[-1]
+        a0, a1 = (a0 * t00 + a1 * t10) * e0, (a0 * t01 + a1 * t11) * e1
+        forward.append((a0 / (a0 + a1), a1 / (a0 + a1)))
+    b0 = b1 = 1.0
+    share, moves = [], [0.0] * 4
+    for k in range(len(e) - 1, -1, -1):
+        a0, a1 = forward[k]
+        share.append((a0 * b0 / (a0 * b0 + a1 * b1), a1 * b1 / (a0 * b0 + a1 * b1)))
+        if k:
+            a0, a1 = forward[k - 1]
+            c0, c1 = e[k][0] * b0, e[k][1] * b1
+            x = (a0 * t00 * c0, a0 * t01 * c1, a1 * t10 * c0, a1 * t11 * c1)
+            total = sum(x)
+            moves = [m + v / total for m, v in zip(moves, x, strict=True)]
+            b0, b1 = t00 * c0 + t01 * c1, t10 * c0 + t11 * c1
+            b0, b1 = b0 / (b0 + b1), b1 / (b0 + b1)
+    return np.array(share[::-1]), np.array(moves).reshape(2, 2)
+
+
+def labelled_pages(number: int = 1200, seed: int = 5) -> list[tuple[list[list[str]], list[int]]]:
     """Feature rows and labels of generated pages.
 
     Text of the article is marked by a character of the private-use area, which
@@ -352,9 +373,10 @@ def labelled_pages(number: int = 700, seed: int = 5) -> list[tuple[list[list[str
         if r.random() < 0.85:
             title = f"<h1>{mark}{words(1, 14)}</h1>"
             parts.append(r.choice([title, title, title, f"<header{named('entry header post title', 0.3)}>{title}</header>", f"{title}<div{named('byline meta date author posted', 0)}>{words(2, 6)}</div>"]))
+        short = r.random() < 0.1  # nothing but a few words anywhere
         for _ in range(r.randint(1, 18)):
             tag = r.choice(["p"] * 9 + ["h2", "h3", "ul", "ol", "blockquote", "pre", "table", "figure", "div"])
-            text = f"{mark}{words(1, 120 if tag == 'p' else 60 if tag == 'div' else 14)}"
+            text = f"{mark}{words(1, 5 if short else 120 if tag == 'p' else 60 if tag == 'div' else 14)}"
             if r.random() < 0.15:
                 text = text.replace(" ", r.choice(["<br>", " <b>", ' <a href="#">x</a> ']), 1)
             items = f"<li>{text}</li><li>{mark}{words(1, 20)}</li>"
