@@ -20,7 +20,8 @@ links.
 Groups. Copies (equal word sequences) are folded into their smallest doc_id
 before signatures are made. A document is verified against one document first:
 the smallest of fitting size among its groups of equal signatures; a group is
-never expanded into all pairs for that. Only members that such links leave in
+never expanded into all pairs for that, and one that the sketch calls hot is dealt
+over several tasks, whose smallest meet afterwards. Only members that such links leave in
 different components are compared further, groups with the same members once.
 Of two members a and b with the same first partner c, the intersection is at most
 min(|a & c|, |b & c|) plus the shingles outside c that they share. So they are
@@ -54,7 +55,7 @@ WIDTH = 5
 THRESHOLD = 75
 CELLS = 1 << 18  # of the counting sketch: 1 MB in all
 BLOCK = 1 << 12
-
+HOT, HOT_TIMES = 10_000, 16  # sets that may share a signature in one task, and times the mean of the sketch
 
 
 def band_of(sizes: np.ndarray) -> np.ndarray:
@@ -74,9 +75,9 @@ def partitions_of(high: np.ndarray) -> np.ndarray:
 
 def signatures(
     docs: np.ndarray, sizes: np.ndarray, values: np.ndarray, heat: np.ndarray, threshold: int = THRESHOLD
-) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, doc) of every set in every band it joins."""
-    out_sig, out_doc = [], []
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, doc, heat of its rarest shingle) of every set in every band it joins."""
+    out_sig, out_doc, out_heat = [], [], []
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     band = band_of(sizes)
     largest = sizes * 100 // threshold
@@ -109,15 +110,17 @@ def signatures(
         keep = rank[turn < (k + 1)[owner[rank]]]
         out_sig.append(sig[keep])
         out_doc.append(docs[rows][owner[keep]])
+        out_heat.append(warm[keep])
         for r in np.flatnonzero(seen <= k):  # too few occupied partitions
             empty = np.setdiff1d(np.arange(n1[r]), cells[owner == r] - base[r]).astype(np.uint64)
             with np.errstate(over="ignore"):
                 place = empty * np.uint64(0x9FB21C651E98DF25) + np.uint64(band[rows[r]] + up)
                 out_sig.append(mix(~mix(place)))
             out_doc.append(np.full(len(empty), docs[rows[r]]))
+            out_heat.append(np.full(len(empty), heat.max()))  # of any set
     if not out_sig:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    return np.concatenate(out_sig), np.concatenate(out_doc)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate(out_sig), np.concatenate(out_doc), np.concatenate(out_heat)
 
 
 def _texts(batch: pa.RecordBatch, name: str = "text", most: int = 500_000) -> Iterator[tuple[slice, list[bytes]]]:
@@ -181,17 +184,22 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Enumerate:
-    def __init__(self, heat: np.ndarray, threshold: int, width: int):
-        self.heat, self.threshold, self.width = heat, threshold, width
+    """Signatures; those that more than ``most`` sets may share are dealt over several salts (from 1; the others have 0)."""
+
+    def __init__(self, heat: np.ndarray, threshold: int, width: int, most: int):
+        self.heat, self.threshold, self.width, self.most = heat, threshold, width, most
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs = batch.column("doc_id").to_numpy()
             for rows, texts in _texts(batch):
                 sizes, values, _ = shingle_sets(texts, self.width)
-                sig, at = signatures(np.arange(len(sizes)), sizes, values, self.heat, self.threshold)
+                sig, at, warm = signatures(np.arange(len(sizes)), sizes, values, self.heat, self.threshold)
+                doc = docs[rows][at]
+                salts = (1 + warm // self.most).astype(np.uint64)
+                salt = np.where(warm > self.most, 1 + mix(doc.view(np.uint64)) % salts, 0).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(sig.view(np.int64)), pa.array(docs[rows][at]), pa.array(sizes[at].astype(np.int32))], names=["sig", "doc_id", "n"]
+                    [pa.array(sig.view(np.int64)), pa.array(doc), pa.array(sizes[at].astype(np.int32)), pa.array(salt)], names=["sig", "doc_id", "n", "salt"]
                 )
 
 
@@ -375,23 +383,26 @@ def _sides(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     return tuple(df.select(*keys, F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in rest]) for x in "ab")
 
 
-def links(docs: DataFrame, folded: DataFrame, heat: np.ndarray, threshold: int = THRESHOLD, width: int = WIDTH) -> DataFrame:
+def links(docs: DataFrame, folded: DataFrame, heat: np.ndarray, threshold: int = THRESHOLD, width: int = WIDTH, hot: int = HOT) -> DataFrame:
     """Verified links between documents that stand for their copies.
 
     They connect the same documents as all links do. ``folded`` holds the ids
-    of the copies that are left out.
+    of the copies that are left out. Signatures that may be in more than ``hot``
+    sets, and in many more than the mean, are dealt over several tasks.
     """
     rest = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     rest = rest.join(sized(folded), "doc_id", "left_anti")
-    rows = map_arrow(rest, _Enumerate(heat, threshold, width), "sig long, doc_id long, n int")
-    by_sig = W.partitionBy("sig")
-    groups = (
-        rows.withColumn("centre", F.min(F.struct("doc_id", F.col("n").alias("m"))).over(by_sig))
-        .withColumn("last", F.max("doc_id").over(by_sig))
-        .where("centre.doc_id < last")
-        .select("sig", "doc_id", "n", F.col("centre.doc_id").alias("centre"), F.col("centre.m").alias("m"))
-    )
-    groups = materialise(groups, "groups")
+    most = max(hot, HOT_TIMES * int(heat.mean()))
+    rows = map_arrow(rest, _Enumerate(heat, threshold, width, most), "sig long, doc_id long, n int, salt int")
+    dealt = W.partitionBy("sig", "salt")
+    first = F.min(F.struct("doc_id", F.col("n").alias("m")))
+    groups = rows.withColumn("centre", first.over(dealt)).withColumn("last", F.max("doc_id").over(dealt))
+    groups = materialise(groups.where("salt > 0 OR centre.doc_id < last"), "groups")
+    # the salts of a hot signature meet by what each of them found
+    tops = groups.where("salt > 0").groupBy("sig").agg(F.min("centre").alias("top"), F.max("last").alias("end"))
+    groups = groups.join(sized(materialise(tops, "hot_signatures")), "sig", "left").withColumn("centre", F.coalesce("top", "centre"))
+    groups = groups.where(F.col("centre.doc_id") < F.coalesce("end", "last"))
+    groups = groups.select("sig", "doc_id", "n", F.col("centre.doc_id").alias("centre"), F.col("centre.m").alias("m"))
     stars = groups.where(F.col("doc_id") != F.col("centre")).where(_fits("n", "m", threshold))
     stars = materialise(stars.groupBy(F.col("doc_id").alias("b")).agg(F.min("centre").alias("a")).select("a", "b"), "stars")
     first = materialise(compared(docs, stars, threshold, width, outside=True), "first")
@@ -420,7 +431,7 @@ def links(docs: DataFrame, folded: DataFrame, heat: np.ndarray, threshold: int =
     return materialise(found.unionByName(second), "all_links")
 
 
-def jaccard_classes(docs: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH) -> DataFrame:
+def jaccard_classes(docs: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles and component_id of every document row."""
     seen, heat = survey(docs, width)
     full = seen.where("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -429,7 +440,7 @@ def jaccard_classes(docs: DataFrame, threshold: int = THRESHOLD, width: int = WI
         full.join(sized(materialise(folds, "folds")), ["k1", "k2"]).where("doc_id > stands").select("doc_id", "stands").distinct(), "copies"
     )
     copies = copies.groupBy("doc_id").agg(F.min("stands").alias("stands"))
-    e = links(docs, materialise(copies.select("doc_id"), "folded"), heat, threshold, width)
+    e = links(docs, materialise(copies.select("doc_id"), "folded"), heat, threshold, width, hot)
     component = materialise(connected_components(e.unionByName(copies.select(F.col("stands").alias("a"), F.col("doc_id").alias("b")))), "classes")
     return seen.join(sized(component), seen["doc_id"] == component["node"], "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")

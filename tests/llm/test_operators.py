@@ -117,7 +117,8 @@ def shingles(text):
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-def test_jaccard(docs, none):
+@pytest.mark.parametrize("hot", [jaccard.HOT, 1])  # 1: nearly all signatures are dealt over several tasks
+def test_jaccard(docs, none, hot, monkeypatch):
     sets = {i: shingles(t) for i, t in ROWS}
     top = {i: i for i in sets}
 
@@ -132,7 +133,8 @@ def test_jaccard(docs, none):
             if a < b and both and 100 * both >= 75 * len(sets[a] | sets[b]):
                 x, y = root(a), root(b)
                 top[max(x, y)] = min(x, y)
-    got = jaccard.jaccard_classes(docs).collect()
+    monkeypatch.setattr(jaccard, "HOT_TIMES", 0)
+    got = jaccard.jaccard_classes(docs, hot=hot).collect()
     assert len(got) == len(ROWS) + 1
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {i: (len(s), root(i)) for i, s in sets.items()}
     assert jaccard.jaccard_classes(none).isEmpty()
@@ -150,7 +152,7 @@ def test_signatures_of_linked_sets_meet():
             b = np.unique(np.append(a[drop:], r.integers(0, 2**63, add, dtype=np.uint64)))
             both = len(np.intersect1d(a, b))
             if both and 100 * both >= 75 * (len(a) + len(b) - both):
-                sig, doc = jaccard.signatures(np.array([0, 1]), np.array([len(a), len(b)]), np.concatenate([a, b]), heat)
+                sig, doc, _ = jaccard.signatures(np.array([0, 1]), np.array([len(a), len(b)]), np.concatenate([a, b]), heat)
                 assert set(sig[doc == 0]) & set(sig[doc == 1])
 
 
