@@ -55,6 +55,7 @@ WIDTH = 5
 THRESHOLD = 75
 CELLS = 1 << 18  # of the counting sketch: 1 MB in all
 BLOCK = 1 << 12
+N_SHIFT, SIG_SHIFT = 32, 40  # where a salt is put in a set's size and in a signature
 HOT, HOT_TIMES = 10_000, 16  # sets that may share a signature in one task, and times the mean of the sketch
 
 
@@ -197,10 +198,10 @@ class _Enumerate:
                 sig, at, warm = signatures(np.arange(len(sizes)), sizes, values, self.heat, self.threshold)
                 doc = docs[rows][at]
                 salts = (1 + warm // self.most).astype(np.uint64)
-                salt = np.where(warm > self.most, 1 + mix(doc.view(np.uint64)) % salts, 0).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(sig.view(np.int64)), pa.array(doc), pa.array(sizes[at].astype(np.int32)), pa.array(salt)], names=["sig", "doc_id", "n", "salt"]
-                )
+                salt = np.where(warm > self.most, 1 + mix(doc.view(np.uint64)) % salts, 0).astype(np.int64)
+                # narrow rows, as all of them are shuffled: the salt goes into both numbers
+                sig = sig.view(np.int64) ^ (salt << SIG_SHIFT)
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(doc), pa.array(sizes[at] | (salt << N_SHIFT))], names=["sig", "doc_id", "n"])
 
 
 COMPARED = "a long, b long, n_a long, n_b long, both long, linked boolean, outside array<long>"
@@ -393,13 +394,21 @@ def links(docs: DataFrame, folded: DataFrame, heat: np.ndarray, threshold: int =
     rest = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     rest = rest.join(sized(folded), "doc_id", "left_anti")
     most = max(hot, HOT_TIMES * int(heat.mean()))
-    rows = map_arrow(rest, _Enumerate(heat, threshold, width, most), "sig long, doc_id long, n int, salt int")
-    dealt = W.partitionBy("sig", "salt")
-    first = F.min(F.struct("doc_id", F.col("n").alias("m")))
-    groups = rows.withColumn("centre", first.over(dealt)).withColumn("last", F.max("doc_id").over(dealt))
-    groups = materialise(groups.where("salt > 0 OR centre.doc_id < last"), "groups")
+    rows = map_arrow(rest, _Enumerate(heat, threshold, width, most), "sig long, doc_id long, n long")
+    dealt = W.partitionBy("sig").orderBy("doc_id").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    salt, size = F.shiftright("n", N_SHIFT), lambda n: F.col(n).bitwiseAND(F.lit((1 << N_SHIFT) - 1)).cast("int")
+    groups = rows.select("sig", "doc_id", "n", F.first("doc_id").over(dealt).alias("c"), F.first("n").over(dealt).alias("c_n"), F.last("doc_id").over(dealt).alias("last"))
+    groups = groups.where((salt > 0) | (F.col("c") < F.col("last"))).select(
+        F.col("sig").bitwiseXOR(F.shiftleft(salt, SIG_SHIFT)).alias("sig"),
+        "doc_id",
+        size("n").alias("n"),
+        (salt > 0).alias("hot"),
+        F.struct(F.col("c").alias("doc_id"), size("c_n").alias("m")).alias("centre"),
+        "last",
+    )
+    groups = materialise(groups, "groups")
     # the salts of a hot signature meet by what each of them found
-    tops = groups.where("salt > 0").groupBy("sig").agg(F.min("centre").alias("top"), F.max("last").alias("end"))
+    tops = groups.where("hot").groupBy("sig").agg(F.min("centre").alias("top"), F.max("last").alias("end"))
     groups = groups.join(sized(materialise(tops, "hot_signatures")), "sig", "left").withColumn("centre", F.coalesce("top", "centre"))
     groups = groups.where(F.col("centre.doc_id") < F.coalesce("end", "last"))
     groups = groups.select("sig", "doc_id", "n", F.col("centre.doc_id").alias("centre"), F.col("centre.m").alias("m"))
