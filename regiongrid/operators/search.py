@@ -53,17 +53,18 @@ def search(registry: RegionRegistry, query: str, level: str | None = None, provi
 _PLAIN = r"^[^\\.\[\](){}*+?^$|]+$"
 
 
-def _bigrams(text: str) -> Column:
-    """Pairs of neighbouring characters, and the single ones."""
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - 1)), lambda i: F.substr(F.col(text), i, F.lit(2)))
-    return F.array_distinct(F.concat(pairs, F.split(text, "")))
+def _grams(text: str, size: int) -> Column:
+    """The runs of ``size`` characters in a text."""
+    last = F.length(text) - size + 1
+    none = F.array().cast("array<string>")
+    return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(F.col(text), i, F.lit(size)))).otherwise(none)
 
 
 def search_many(registry: RegionRegistry, queries: DataFrame, fuzzy: bool = True) -> DataFrame:
     """``queries`` (query_id, query) with their hits: the batch form, without parents.
 
     Codes and names are equi-joins. Of the other queries, plain texts meet only the
-    names that hold their first two characters, by an equi-join; regular expressions
+    names that hold their rarest three characters, by an equi-join; regular expressions
     meet each name. A query that is no regular expression has one row without a
     region and with an ``error``; it fails nothing else.
     """
@@ -79,8 +80,12 @@ def search_many(registry: RegionRegistry, queries: DataFrame, fuzzy: bool = True
     done = name.select("query_id", "level").distinct()
     open_ = q.where("NOT digits")
     plain = open_.where(F.col("query").rlike(_PLAIN))
-    grams = names.withColumn("_gram", F.explode(_bigrams("name")))
-    loose = plain.withColumn("_gram", F.substring("query", 1, 2)).join(grams, "_gram").where(F.col("name").contains(F.col("query"))).drop("_gram")
+    grams = names.withColumn("_gram", F.explode(F.array_distinct(F.concat(*[_grams("name", k) for k in (1, 2, 3)]))))
+    often = grams.groupBy("_gram").agg(F.count("*").alias("_n"))
+    keys = F.when(F.length("query") >= 3, _grams("query", 3)).otherwise(F.array("query"))
+    keyed = plain.select("query").distinct().withColumn("_gram", F.explode(keys)).join(often, "_gram")
+    keyed = keyed.groupBy("query").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"))
+    loose = plain.join(keyed, "query").join(grams, "_gram").where(F.col("name").contains(F.col("query"))).select(*plain.columns, *cols)
     pattern = open_.where(~F.col("query").rlike(_PLAIN)).withColumn("_ok", F.expr("try_reflect('java.util.regex.Pattern', 'matches', query, '')").isNotNull())
     loose = loose.unionByName(pattern.where("_ok").drop("_ok").join(registry.hint(names), F.expr("coalesce(rlike(name, query), false)")))
     hits = hits.unionByName(loose.join(done, ["query_id", "level"], "left_anti").select(name.columns))
