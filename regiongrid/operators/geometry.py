@@ -16,17 +16,24 @@ GRID = 0.5  # degrees
 INDEX_BYTES, CELL_BYTES, CANDIDATE_BYTES, EDGE_BYTES = 256 << 20, 64, 64, 40
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def part_edges(part: Column) -> Column:
+    """The edges (x1, y1, x2, y2) of the rings of a part; an open ring is closed."""
+    closed = lambda ring: F.when(F.element_at(ring, -1) == F.get(ring, F.lit(0)), ring).otherwise(F.concat(ring, F.slice(ring, 1, 1)))
+    at = lambda p, i: F.get(p, F.lit(i))
+    edge = lambda p, q: F.struct(at(p, 0).alias("x1"), at(p, 1).alias("y1"), at(q, 0).alias("x2"), at(q, 1).alias("y2"))
+    own = lambda ring: F.zip_with(F.slice(ring, F.lit(1), F.size(ring) - 1), F.slice(ring, F.lit(2), F.size(ring) - 1), edge)
+    return F.flatten(F.transform(F.filter(part, lambda ring: F.size(ring) > 0), lambda ring: let(closed(ring), own)))
+
+
 def edges_of(regions: DataFrame) -> DataFrame:
-    """(level, pos, part, x1, y1, x2, y2) of all rings; an open ring is closed."""
+    """(level, pos, part, x1, y1, x2, y2) of all rings."""
     r = regions.select("level", "pos", F.posexplode("polygons").alias("part", "rings"))
-    r = r.select("level", "pos", "part", F.explode("rings").alias("ring"))
-    ring = F.col("ring")
-    closed = F.when(F.element_at(ring, -1) == F.get(ring, F.lit(0)), ring).otherwise(F.concat(ring, F.slice(ring, 1, 1)))
-    r = r.where(F.size("ring") > 0).withColumn("ring", closed)
-    pairs = F.zip_with(F.slice("ring", F.lit(1), F.size("ring") - 1), F.slice("ring", F.lit(2), F.size("ring") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    e = r.where(F.size("ring") > 1).select("level", "pos", "part", F.explode(pairs).alias("e"))
-    at = lambda p, i: F.get(F.col(f"e.{p}"), F.lit(i))
-    return e.select("level", "pos", "part", at("a", 0).alias("x1"), at("a", 1).alias("y1"), at("b", 0).alias("x2"), at("b", 1).alias("y2"))
+    return r.select("level", "pos", "part", F.explode(part_edges(F.col("rings"))).alias("e")).select("level", "pos", "part", "e.*")
 
 
 def crosses(e, lng: Column, lat: Column) -> Column:
@@ -50,6 +57,12 @@ def inside(edges: Column, lng: Column, lat: Column) -> Column:
     return odd & ~F.exists(edges, lambda e: touches(e, lng, lat))
 
 
+def holds(polygons: Column, lng: Column, lat: Column) -> Column:
+    """The point is strictly inside the polygons of its row; false where either is missing."""
+    edges = F.flatten(F.transform(F.filter(polygons, lambda part: part.isNotNull()), part_edges))
+    return F.coalesce(lng.between(-360.0, 360.0) & lat.between(-360.0, 360.0) & let(edges, lambda e: inside(e, lng, lat)), F.lit(False))
+
+
 def cell_index(regions: DataFrame, size: float = GRID) -> DataFrame:
     """(cx, cy, candidates): the regions that a cell can lie in.
 
@@ -72,30 +85,50 @@ def cell_index(regions: DataFrame, size: float = GRID) -> DataFrame:
     return cells.groupBy("cx", "cy").agg(F.sort_array(F.collect_list(F.struct("level", "pos", "full", "edges"))).alias("candidates"))
 
 
-def representative_points(regions: DataFrame) -> DataFrame:
-    """(level, pos, rep_lng, rep_lat): a point inside each region.
+def _scan(e: Column, lo: Column, hi: Column, part: Column) -> Column:
+    """The candidates for the representative point, one a line of latitude."""
+    # where a ring crosses itself on the middle line, the lines a quarter off it serve
+    lines = F.array((lo + hi) / 2, (3 * lo + hi) / 4, (lo + 3 * hi) / 4)
+
+    def crossings(y: Column) -> Column:
+        met = F.filter(e, lambda d: (d["y1"] > y) != (d["y2"] > y))
+        return F.sort_array(F.transform(met, lambda d: d["x1"] + (y - d["y1"]) / (d["y2"] - d["y1"]) * (d["x2"] - d["x1"])))
+
+    def widest(xs: Column) -> Column:
+        left, right = (lambda i: F.get(xs, 2 * i)), (lambda i: F.get(xs, 2 * i + 1))
+        pairs = F.transform(
+            F.sequence(F.lit(0), F.floor(F.size(xs) / 2).cast("int") - 1),
+            lambda i: F.struct((right(i) - left(i)).alias("wide"), (-i).alias("o"), ((right(i) + left(i)) / 2).alias("x")),
+        )
+        return F.when(F.size(xs) > 1, F.array_max(pairs))
+
+    def candidate(y: Column, turn: Column) -> Column:
+        def of(b: Column) -> Column:
+            first = F.when(b["wide"] > 1e-9, -turn).otherwise(F.lit(-9))
+            return F.when(b.isNotNull(), F.struct(first.alias("f"), b["wide"].alias("wide"), (-part).alias("o"), b["x"].alias("x"), y.alias("y")))
+
+        return let(let(crossings(y), widest), of)
+
+    return F.transform(lines, candidate)
+
+
+def with_representative_points(regions: DataFrame) -> DataFrame:
+    """``regions`` with rep_lng and rep_lat: a point inside each, found within the row; null without an area.
 
     On a line of latitude between the vertices around the middle of a part, the
     middle of the widest run inside; the widest over the parts, the first on ties.
     """
-    e = edges_of(regions)
-    key = ["level", "pos", "part"]
-    mid = e.groupBy(*key).agg(((F.min(F.least("y1", "y2")) + F.max(F.greatest("y1", "y2"))) / 2).alias("mid"))
-    e = e.join(mid, key)
-    near = e.groupBy(*key).agg(
-        F.max(F.when(F.col("y1") <= F.col("mid"), F.col("y1"))).alias("lo"), F.min(F.when(F.col("y1") > F.col("mid"), F.col("y1"))).alias("hi")
-    )
-    # where a ring crosses itself on the middle line, the lines a quarter off it serve
-    lines = F.array((F.col("lo") + F.col("hi")) / 2, (3 * F.col("lo") + F.col("hi")) / 4, (F.col("lo") + 3 * F.col("hi")) / 4)
-    scan = near.select(*key, F.posexplode(lines).alias("turn", "scan"))
-    e = e.join(scan, key).where((F.col("y1") > F.col("scan")) != (F.col("y2") > F.col("scan")))
-    x = F.col("x1") + (F.col("scan") - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1"))
-    runs = e.groupBy(*key, "turn", "scan").agg(F.sort_array(F.collect_list(x)).alias("xs"))
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.floor(F.size("xs") / 2).cast("int") - 1),
-        lambda i: F.struct((F.get("xs", 2 * i + 1) - F.get("xs", 2 * i)).alias("wide"), (-i).alias("o"), ((F.get("xs", 2 * i + 1) + F.get("xs", 2 * i)) / 2).alias("x")),
-    )
-    best = runs.where(F.size("xs") > 1).select(*key, "turn", "scan", F.array_max(pairs).alias("b"))
-    first = F.when(F.col("b.wide") > 1e-9, -F.col("turn")).otherwise(F.lit(-9))
-    top = F.max(F.struct(first.alias("f"), F.col("b.wide").alias("wide"), (-F.col("part")).alias("o"), F.col("b.x").alias("x"), F.col("scan").alias("y")))
-    return best.groupBy("level", "pos").agg(top.alias("t")).select("level", "pos", F.col("t.x").alias("rep_lng"), F.col("t.y").alias("rep_lat"))
+
+    def middle(e: Column) -> Column:
+        return (F.array_min(F.transform(e, lambda d: F.least(d["y1"], d["y2"]))) + F.array_max(F.transform(e, lambda d: F.greatest(d["y1"], d["y2"])))) / 2
+
+    def near(e: Column, mid: Column) -> Column:
+        ys = F.transform(e, lambda d: d["y1"])
+        return F.struct(F.array_max(F.filter(ys, lambda y: y <= mid)).alias("lo"), F.array_min(F.filter(ys, lambda y: y > mid)).alias("hi"))
+
+    def best(part: Column, i: Column) -> Column:
+        around = lambda e: let(middle(e), lambda mid: near(e, mid))
+        return let(part_edges(part), lambda e: let(around(e), lambda n: F.array_max(_scan(e, n["lo"], n["hi"], i))))
+
+    found = regions.withColumn("_top", F.array_max(F.transform("polygons", best)))
+    return found.withColumn("rep_lng", F.col("_top.x")).withColumn("rep_lat", F.col("_top.y")).drop("_top")

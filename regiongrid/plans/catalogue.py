@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures
 from ..functions import adcode, crs
-from ..operators import hierarchy, ingest, quality, reverse, search, versioning
+from ..operators import geometry, hierarchy, ingest, quality, reverse, search, versioning
 from ..schema import LEVELS, MERGED_PREFIXES
 from ..sources import admin as admin_source
 from ..sources import geojson
@@ -527,11 +527,8 @@ PATH_SQL = """SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'province' WHEN 1
 
 def representative(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each derived region's representative point and whether it is inside."""
-    own_regions = derived(spark, sf_dir)
-    r = own_regions.names.select("level", "code", "pos", F.col("rep_lat").alias("lat"), F.col("rep_lng").alias("lng"))
-    d = reverse.locate(r, own_regions)
-    own = F.exists("_hits", lambda h: (h["level"] == F.col("level")) & (h["pos"] == F.col("pos")))
-    return d.select("level", "code", "pos", "lat", "lng", own.alias("is_inside"))
+    own = geometry.holds(F.col("polygons"), F.col("rep_lng"), F.col("rep_lat"))
+    return derived(spark, sf_dir).regions.select("level", "code", "pos", F.col("rep_lat").alias("lat"), F.col("rep_lng").alias("lng"), own.alias("is_inside"))
 
 
 def convert_nested(spark: SparkSession, sf_dir: str) -> DataFrame:

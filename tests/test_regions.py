@@ -392,3 +392,23 @@ def test_search_many_equals_single(spark, tool):
 def test_group_by_prefix(spark):
     d = spark.createDataFrame([("1102", "b"), ("1101", "a"), ("4403", "c")], "code string, name string")
     assert {r["prefix"]: [m["code"] for m in r["members"]] for r in hierarchy.group_by_prefix(d, 2).collect()} == {"11": ["1101", "1102"], "44": ["4403"]}
+
+
+def test_representative_points_need_no_shuffle(spark):
+    from regiongrid.operators import geometry
+
+    open_ring = [[[0.0, 0.0], [4.0, 0.0], [4.0, 2.0], [0.0, 2.0]]]
+    holed = [fixtures.box(10, 0, 20, 10), fixtures.box(11, 1, 18, 9)]
+    bow = [[[0.0, 0.0], [2.0, 2.0], [2.0, 0.0], [0.0, 2.0], [0.0, 0.0]]]
+    cases = [([open_ring], (2.0, 1.0)), ([holed], (19.0, 5.0)), ([bow], None), ([[fixtures.box(0, 0, 1, 1)], open_ring], (2.0, 1.0)), ([], None), ([[]], None), (None, None)]
+    rows = [("district", 2, i, f"{i}", f"{i}", p) for i, (p, _) in enumerate(cases)]
+    registry = RegionRegistry(spark, regions=fixtures.regions(spark, rows))
+    own = geometry.holds(F.col("polygons"), F.col("rep_lng"), F.col("rep_lat"))
+    d = registry.regions.select("pos", "rep_lng", "rep_lat", own.alias("own"))
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Exchange", "Join", "Aggregate"))
+    got = {r["pos"]: ((r["rep_lng"], r["rep_lat"]) if r["rep_lng"] is not None else None, r["own"]) for r in d.collect()}
+    for i, (_, want) in enumerate(cases):
+        if i != 2:  # where the ring crosses itself, only that it is inside
+            assert got[i] == (want, want is not None), i
+    assert got[2][1] and got[2][0] != (1.0, 1.0)
