@@ -63,6 +63,11 @@ def holds(polygons: Column, lng: Column, lat: Column) -> Column:
     return F.coalesce(lng.between(-360.0, 360.0) & lat.between(-360.0, 360.0) & let(edges, lambda e: inside(e, lng, lat)), F.lit(False))
 
 
+def shape_of(polygons: Column) -> Column:
+    """A digest that only equal polygons share; null if there are none."""
+    return F.unhex(F.sha2(F.to_json(polygons), 256))
+
+
 def cell_index(regions: DataFrame, size: float = GRID) -> DataFrame:
     """(cx, cy, candidates): the regions that a cell can lie in.
 

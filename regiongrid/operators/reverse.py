@@ -21,10 +21,15 @@ def _cell(c: str, size: float) -> Column:
     return F.when(F.col(c).between(-360.0, 360.0), F.floor(F.col(c) / size))
 
 
-def locate(points: DataFrame, registry: RegionRegistry) -> DataFrame:
-    """``points`` (lat, lng, any others) with ``_hits``: array of (level, pos) of the regions they are in."""
+def locate(points: DataFrame, registry: RegionRegistry, index: DataFrame | None = None) -> DataFrame:
+    """``points`` (lat, lng, any others) with ``_hits``: array of (level, pos) of the shapes they are in.
+
+    Regions of one level and equal polygons are one shape, under the first's pos: what
+    holds a point does not grow with copies. ``registry.regions`` has each one's shape.
+    ``index`` may be a part of the registry's index, for the hits in that part.
+    """
     p = points.withColumn("_cx", _cell("lng", registry.grid)).withColumn("_cy", _cell("lat", registry.grid))
-    cells = registry.cells().select(F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), "candidates")
+    cells = registry.cells(index).select(F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), "candidates")
     joined = p.join(cells, ["_cx", "_cy"], "left")
     found = F.filter("candidates", lambda c: c["full"] | geometry.inside(c["edges"], F.col("lng"), F.col("lat")))
     hits = F.transform(found, lambda c: F.struct(c["level"].alias("level"), c["pos"].alias("pos")))
@@ -63,7 +68,7 @@ def in_country(points: DataFrame, registry: RegionRegistry) -> DataFrame:
 
 
 def resolve_region(codes: DataFrame, registry: RegionRegistry) -> DataFrame:
-    """``codes`` (code) with the level and pos they stand for, or an ``error``.
+    """``codes`` (code) with the level and the pos of the shape they stand for, or an ``error``.
 
     A city code of a merged province stands for the province.
     """
@@ -71,7 +76,9 @@ def resolve_region(codes: DataFrame, registry: RegionRegistry) -> DataFrame:
     level = adcode.level(c)
     merged = (level == "city") & adcode.is_merged(c)
     d = codes.withColumn("_level", F.when(merged, "province").otherwise(level)).withColumn("_code", F.when(merged, adcode.province_code(c)).otherwise(c))
-    known = registry.by_code().select(F.col("level").alias("_level"), F.col("code").alias("_code"), F.col("pos").alias("region_pos"))
+    first = registry.shapes.select("level", "shape", F.col("pos").alias("first"))
+    known = registry.by_code().join(registry.hint(first, shapes=True), ["level", "shape"], "left")
+    known = known.select(F.col("level").alias("_level"), F.col("code").alias("_code"), F.coalesce("first", "pos").alias("region_pos"))
     d = d.join(registry.hint(known), ["_level", "_code"], "left")
     error = F.when(F.col("_level").isNull(), "malformed code").when(F.col("region_pos").isNull(), "unknown code")
     return d.withColumn("error", error).withColumnRenamed("_level", "region_level").drop("_code")

@@ -13,15 +13,19 @@ from .reverse import locate
 
 
 def _within(hits: DataFrame, registry: RegionRegistry, level: str, parent: str) -> DataFrame:
-    """Hits whose rounded representative point is in one region of ``level``: by code if all digits, else the first of the name."""
+    """Hits whose rounded representative point is in one region of ``level``: by code if all digits, else the first of the name.
+
+    Points meet the cells of that region only.
+    """
     if re.fullmatch("[0-9]+", parent):
-        row = registry.by_code().where((F.col("level") == level) & (F.col("code") == parent)).select("pos")
+        row = registry.by_code().where((F.col("level") == level) & (F.col("code") == parent)).select("shape")
     else:
-        row = registry.names.where((F.col("level") == level) & (F.col("name") == parent)).agg(F.min("pos").alias("pos")).where("pos IS NOT NULL")
+        row = registry.names.where((F.col("level") == level) & (F.col("name") == parent)).agg(F.min_by("shape", "pos").alias("shape"))
+    one = registry.shapes.where(F.col("level") == level).join(F.broadcast(row), "shape").select(F.col("pos").alias("_pos"))
+    own = registry.index.select("cx", "cy", F.explode("candidates").alias("c")).where(F.col("c.level") == level).join(F.broadcast(one), F.col("c.pos") == F.col("_pos"))
+    own = own.groupBy("cx", "cy").agg(F.collect_list("c").alias("candidates"))
     points = hits.withColumn("lat", F.round("rep_lat", 6)).withColumn("lng", F.round("rep_lng", 6))
-    held = locate(points, registry).withColumn("_parents", F.transform(F.filter("_hits", lambda h: h["level"] == level), lambda h: h["pos"]))
-    one = row.select(F.col("pos").alias("_parent"))
-    return held.join(registry.hint(one), F.array_contains("_parents", F.col("_parent")), "left_semi").drop("_hits", "_parents", "lat", "lng")
+    return locate(points, registry, own).where(F.size("_hits") > 0).drop("_hits", "lat", "lng")
 
 
 def search(registry: RegionRegistry, query: str, level: str | None = None, province: str | None = None, city: str | None = None, fuzzy: bool = True) -> DataFrame:
@@ -41,7 +45,7 @@ def search(registry: RegionRegistry, query: str, level: str | None = None, provi
         exact = r.where(F.col("name") == query)
         hits = exact
         if fuzzy:
-            rest = r.join(registry.hint(exact.select("level").distinct()), "level", "left_anti")
+            rest = r.join(F.broadcast(exact.select("level").distinct()), "level", "left_anti")
             hits = exact.unionByName(rest.where(F.coalesce(F.col("name").rlike(query), F.lit(False))).select(exact.columns))
     for parent_level, parent in (("province", province), ("city", city)):
         if parent:

@@ -394,6 +394,23 @@ def test_group_by_prefix(spark):
     assert {r["prefix"]: [m["code"] for m in r["members"]] for r in hierarchy.group_by_prefix(d, 2).collect()} == {"11": ["1101", "1102"], "44": ["4403"]}
 
 
+def copies(spark, n):
+    """A registry of two cities and of n districts on each of two equal places in the first."""
+    box = [[[fixtures.box(*b)]] for b in ((100, 30, 103, 32), (103, 30, 105, 32), (101, 30, 101.5, 30.25), (102, 31, 102.25, 31.25))]
+    rows = [("city", 1, 0, "330100", "west", box[0]), ("city", 1, 1, "330200", "east", box[1]), ("city", 1, 2, "330300", "again", box[0])]
+    rows += [("district", 2, i, f"3301{i % 90 + 10}", f"d{i}", box[2 + i % 2]) for i in range(2 * n)]
+    return RegionRegistry(spark, regions=fixtures.regions(spark, rows))
+
+
+def test_copies_are_one_candidate_and_all_found_by_parent(spark):
+    registry = copies(spark, 150)
+    assert registry.index.agg(F.max(F.size("candidates"))).first()[0] <= 4
+    found = lambda **k: [(r["level"], r["pos"]) for r in search.search(registry, "d", **k).collect()]
+    every = [("district", i) for i in range(300)]
+    assert found(city="west") == found(city="330100") == found(city="330300") == every
+    assert found(city="east") == found(city="nowhere") == []
+
+
 def test_representative_points_need_no_shuffle(spark):
     from regiongrid.operators import geometry
 
