@@ -43,11 +43,11 @@ def reverse(points: DataFrame, registry: RegionRegistry, backfill: bool = True)
     wins. A missing city of a merged province is the province as a city.
     """
     out = locate(points, registry)
-    small = registry.names.select("level", "pos", F.struct("name", "code", "level", F.round("rep_lat", 6).alias("latitude"), F.round("rep_lng", 6).alias("longitude")).alias("r"))
+    small = registry.shapes.select("level", "pos", F.struct("name", "code", "level", F.round("rep_lat", 6).alias("latitude"), F.round("rep_lng", 6).alias("longitude")).alias("r"))
     for level in LEVELS:
         first = F.array_min(F.transform(F.filter("_hits", lambda h: h["level"] == level), lambda h: h["pos"]))
         side = small.where(F.col("level") == level).select(F.col("pos").alias(f"_{level}"), F.col("r").alias(level))
-        out = out.withColumn(f"_{level}", first).join(registry.hint(side), f"_{level}", "left").drop(f"_{level}")
+        out = out.withColumn(f"_{level}", first).join(registry.hint(side, shapes=True), f"_{level}", "left").drop(f"_{level}")
     out = out.drop("_hits")
     if backfill:
         as_city = F.col("province").withField("level", F.lit("city"))

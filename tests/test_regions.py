@@ -411,6 +411,19 @@ def test_copies_are_one_candidate_and_all_found_by_parent(spark):
     assert found(city="east") == found(city="nowhere") == []
 
 
+def test_reverse_among_copies(spark):
+    registry = copies(spark, 150)
+    points = [(30.1, 101.2), (31.1, 102.1), (31.9, 100.1), (31.0, 104.0), (30.1, 101.0)]
+    d = spark.createDataFrame([(i, la, lo) for i, (la, lo) in enumerate(points)], "id int, lat double, lng double")
+    assert reverse.locate(d, registry).agg(F.max(F.size("_hits"))).first()[0] == 2
+    rows = reverse.flat(reverse.reverse(d, registry), "id").orderBy("id").collect()
+    assert [(r["city_name"], r["district_name"]) for r in rows] == [("west", "d0"), ("west", "d1"), ("west", None), ("east", None), ("west", None)]
+    codes = d.where("id < 2").withColumn("code", F.explode(F.array(F.lit("330300"), F.lit("330200"), F.lit("330110"), F.lit("330199"), F.lit("330111"), F.lit("330109"))))
+    got = {(r["id"], r["code"]): (r["in_region"], r["error"]) for r in reverse.in_region(codes, registry).collect()}
+    held = {(0, "330300"), (1, "330300"), (0, "330110"), (1, "330199"), (1, "330111")}
+    assert got == {k: ((None, "unknown code") if k[1] == "330109" else (k in held, None)) for k in got} and len(got) == 12
+
+
 def test_representative_points_need_no_shuffle(spark):
     from regiongrid.operators import geometry
 
